@@ -463,7 +463,7 @@ def phi(spark, sf):
     tx(
         PHI
         + """SELECT p.transaction_id, round(z, 6) AS log_odds,
-    round(1.0::DOUBLE / (1.0::DOUBLE + exp(-z)) - 1.0::DOUBLE / (1.0::DOUBLE + exp(-(z - x))), 6) AS shift
+    round(1.0::DOUBLE / (1.0::DOUBLE + exp(-z)) - 1.0::DOUBLE / (1.0::DOUBLE + exp(-(z - x))), 6) + 0.0::DOUBLE AS shift
     FROM phi p JOIN total USING (transaction_id) WHERE feature_index = 4"""
     ),
 )
