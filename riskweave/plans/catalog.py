@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from riskweave.plans import data_queries, feature_queries, score_queries  # noqa: F401  (imports register the queries)
+from riskweave.plans import (  # noqa: F401  (imports register the queries)
+    data_queries,
+    experiment_queries,
+    feature_queries,
+    score_queries,
+)
 from riskweave.plans.registry import EXPECTED_SQL, QUERIES
 
 __all__ = ["EXPECTED_SQL", "QUERIES"]
