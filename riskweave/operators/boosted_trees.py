@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.functions import vector_to_array
@@ -70,7 +70,8 @@ def leaves_of(model: PipelineModel | GBTClassificationModel) -> list[Leaf]:
 def _hits(leaf: Leaf, values: np.ndarray) -> np.ndarray:
     """Whether each row meets the path's condition on each of its features."""
     x = values[:, leaf.features]
-    return (x > leaf.low) & (x <= leaf.high)
+    # a missing value fails every "x <= cut" test, so it always takes the right branch
+    return ~(x <= leaf.low) & ((x <= leaf.high) | np.isposinf(leaf.high))
 
 
 def _leaf_contributions(leaf: Leaf, hits: np.ndarray) -> np.ndarray:
@@ -120,19 +121,30 @@ def _with_field(frame: DataFrame, name: str) -> T.StructType:
     return T.StructType([*frame.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
 
 
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    """The ``values`` lists of a batch as a rows x features matrix."""
+    flat = batch.column("values").flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(batch.num_rows, -1)
+
+
+def _appended(batch: pa.RecordBatch, name: str, matrix: np.ndarray) -> pa.RecordBatch:
+    width = matrix.shape[1]
+    offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * width
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.reshape(-1)))
+    return pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, name])
+
+
 def contributions(model: PipelineModel, frame: DataFrame, *keep: str) -> DataFrame:
     """(keep..., values, contributions, bias, log_odds) per row; bias + sum = log-odds."""
     leaves = leaves_of(model)
     bias = bias_of(leaves)
     rows = _vector_arrays(model, frame, list(keep))
 
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                phi = batch_contributions(leaves, np.stack(batch["values"].to_numpy()))
-                yield batch.assign(contributions=list(phi))
+            yield _appended(batch, "contributions", batch_contributions(leaves, _matrix(batch)))
 
-    explained = rows.mapInPandas(explain, _with_field(rows, "contributions"))
+    explained = rows.mapInArrow(explain, _with_field(rows, "contributions"))
     total = F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x)
     return explained.withColumns({"bias": F.lit(bias), "log_odds": F.lit(bias) + total})
 
@@ -143,17 +155,15 @@ def margins_per_iteration(model: PipelineModel, frame: DataFrame, *keep: str) ->
     n_trees = 1 + max(leaf.tree for leaf in leaves)
     rows = _vector_arrays(model, frame, list(keep))
 
-    def advance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            values = np.stack(batch["values"].to_numpy())
-            steps = np.zeros((len(batch), n_trees))
+            values = _matrix(batch)
+            steps = np.zeros((batch.num_rows, n_trees))
             for leaf in leaves:
                 steps[:, leaf.tree] += leaf.value * _hits(leaf, values).all(axis=1)
-            yield batch.assign(margins=list(steps.cumsum(axis=1)))
+            yield _appended(batch, "margins", steps.cumsum(axis=1))
 
-    return rows.mapInPandas(advance, _with_field(rows, "margins")).drop("values")
+    return rows.mapInArrow(advance, _with_field(rows, "margins")).drop("values")
 
 
 def gain_importance(model: PipelineModel, features: list[str] | None = None) -> DataFrame:
