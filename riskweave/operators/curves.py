@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators.running import ROWS_PER_RANGE, running_totals
@@ -65,26 +65,21 @@ def curve_of(scored: DataFrame, by: Sequence[str] = (), **columns) -> DataFrame:
     return threshold_curve(score_counts(scored, by, **columns), by)
 
 
-def ranking_metrics(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Average precision and ROC AUC (ties count one half) from the curve's counts."""
+def ranking_aggregates() -> dict[str, Column]:
+    """Average precision and ROC AUC (ties count one half) as aggregates over a curve."""
     positives = F.max(F.col("tp") + F.col("fn"))
     negatives = F.max(F.col("fp") + F.col("tn"))
-    average_precision = F.sum(F.col("precision") * F.col("n_pos"))
+    precise = F.sum(F.col("precision") * F.col("n_pos"))
     wins = F.sum(F.col("n_neg") * (F.col("tp") - F.col("n_pos") / F.lit(2.0)))
-    return (
-        curve.groupBy(*by)
-        .agg(
-            average_precision.alias("_ap"), wins.alias("_wins"), positives.alias("_p"), negatives.alias("_n")
-        )
-        .select(
-            *by,
-            F.when(F.col("_p") > 0, F.col("_ap") / F.col("_p")).alias("pr_auc"),
-            F.when(
-                (F.col("_p") > 0) & (F.col("_n") > 0),
-                F.col("_wins") / (F.col("_p").cast("double") * F.col("_n")),
-            ).alias("roc_auc"),
-        )
-    )
+    pairs = positives.cast("double") * negatives
+    return {
+        "pr_auc": F.when(positives > 0, precise / positives),
+        "roc_auc": F.when(pairs > 0, wins / pairs),
+    }
+
+
+def ranking_metrics(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return curve.groupBy(*by).agg(*[c.alias(n) for n, c in ranking_aggregates().items()])
 
 
 def roc_points(

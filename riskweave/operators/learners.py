@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from riskweave.functions import fixed_values as fv
 from riskweave.operators.encoders import linear_encoding, tree_encoding
 from riskweave.operators.splits import class_weights
+from riskweave.sources.scratch import use_checkpoints
 
 LABEL, WEIGHT = "is_fraud", "weight"
 LINEAR, FOREST, BOOSTED = "logistic_regression", "random_forest", "boosted_trees"
@@ -102,6 +103,8 @@ def learner(family: str, params: Mapping | None = None, seed: int = fv.DEFAULT_S
 
 
 def fit(frame: DataFrame, family: str, params: Mapping | None = None, seed: int = fv.DEFAULT_SEED) -> PipelineModel:
+    if family == BOOSTED:
+        use_checkpoints(frame.sparkSession)  # boosting cuts its lineage every few rounds
     return learner(family, params, seed).fit(weighted(frame, family, params))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions import fixed_values as fv
 from riskweave.functions.expressions import banded, ratio_if_positive, stacked
-from riskweave.operators.curves import ranking_metrics, score_counts, threshold_curve
+from riskweave.operators.curves import ranking_aggregates, score_counts, threshold_curve
 
 
 def confusion(
@@ -57,14 +57,13 @@ def evaluate(
     curve = threshold_curve(score_counts(scored, by, label, score), by)
     hit = F.col("threshold") >= F.lit(threshold)
     tally = curve.groupBy(*by).agg(
+        *[c.alias(n) for n, c in ranking_aggregates().items()],
         F.sum(F.when(hit, F.col("n_pos")).otherwise(0)).alias("tp"),
         F.sum(F.when(hit, F.col("n_neg")).otherwise(0)).alias("fp"),
         F.sum(F.when(~hit, F.col("n_neg")).otherwise(0)).alias("tn"),
         F.sum(F.when(~hit, F.col("n_pos")).otherwise(0)).alias("fn"),
     )
-    ranking = ranking_metrics(curve, by)
-    both = tally.join(ranking, list(by)) if by else tally.join(F.broadcast(ranking))  # one row each
-    return with_threshold_metrics(both).select(*by, *fv.METRICS, "tp", "fp", "tn", "fn")
+    return with_threshold_metrics(tally).select(*by, *fv.METRICS, "tp", "fp", "tn", "fn")
 
 
 def long_metrics(wide: DataFrame, by: Sequence[str], metrics: Sequence[str] = tuple(fv.METRICS)) -> DataFrame:
@@ -134,12 +133,14 @@ def tuning_change(
     baseline: DataFrame, tuned: DataFrame, metrics: Sequence[str] = ("pr_auc", "roc_auc", "f1", "precision", "recall")
 ) -> DataFrame:
     """Change from baseline to tuned per metric, absolute and in percent (one row per input)."""
-    b = baseline.select([F.col(m).cast("double").alias(f"b_{m}") for m in metrics])
-    t = tuned.select([F.col(m).cast("double").alias(f"t_{m}") for m in metrics])
+    values = F.struct(*[F.col(m).cast("double").alias(m) for m in metrics])
+    b = baseline.select(*[F.col(m).cast("double").alias(f"b_{m}") for m in metrics])
+    b = b.withColumn("_t", tuned.select(values).scalar())
+    b = b.select(*b.columns, *[F.col(f"_t.{m}").alias(f"t_{m}") for m in metrics])
     rows = []
     for m in metrics:
         change = F.col(f"t_{m}") - F.col(f"b_{m}")
         percent = F.when(F.col(f"b_{m}") != 0, change / F.col(f"b_{m}") * 100)
         rows.append([F.lit(m), F.col(f"b_{m}"), F.col(f"t_{m}"), change, percent])
     names = ["metric", "baseline", "tuned", "change", "change_pct"]
-    return b.join(F.broadcast(t)).select(stacked(rows, names)).select("row.*")  # one row each side
+    return b.select(stacked(rows, names)).select("row.*")

@@ -25,19 +25,15 @@ def class_distribution(frame: DataFrame, label: str = "is_fraud", limit: float =
     """Rows and share per class, with the ratio of the two largest classes and a flag above ``limit``."""
     counts = frame.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
     # one row per class from here on
-    summary = counts.agg(
-        F.sum("n").alias("total"), F.sort_array(F.collect_list("n"), asc=False).alias("sizes")
-    ).withColumn(
-        "imbalance_ratio",
-        F.when(F.size("sizes") > 1, (F.get("sizes", F.lit(0)) / F.col("total")) / (F.get("sizes", F.lit(1)) / F.col("total")))
-        .otherwise(F.lit(1.0)),
-    )
-    return counts.join(F.broadcast(summary)).select(
-        "label",
-        "n",
-        (F.col("n") / F.col("total")).alias("share"),
-        "imbalance_ratio",
-        (F.col("imbalance_ratio") > limit).cast("int").alias("is_imbalanced"),
+    classes = Window.partitionBy(F.lit(0))
+    sizes = F.sort_array(F.collect_list("n").over(classes), asc=False)
+    share = F.col("n") / F.sum("n").over(classes)
+    largest, second = F.get("sizes", F.lit(0)), F.get("sizes", F.lit(1))
+    return (
+        counts.select("label", "n", share.alias("share"), sizes.alias("sizes"))
+        .withColumn("imbalance_ratio", F.when(F.size("sizes") > 1, largest / second).otherwise(F.lit(1.0)))
+        .withColumn("is_imbalanced", (F.col("imbalance_ratio") > limit).cast("int"))
+        .drop("sizes")
     )
 
 
@@ -112,10 +108,8 @@ def category_rates(
         .agg(F.sum(label).alias("target_count"), F.count(label).alias("total_count"))
         .withColumn("target_rate", F.col("target_count") / F.col("total_count") * 100)
     )
-    if baseline is None:
-        rates = rates.join(F.broadcast(frame.agg(F.avg(label).alias("_base"))))  # one row
-    else:
-        rates = rates.withColumn("_base", F.lit(float(baseline)))
+    base = frame.agg(F.avg(label)).scalar() if baseline is None else F.lit(float(baseline))
+    rates = rates.withColumn("_base", base)
     return rates.select(
         "feature",
         "value",

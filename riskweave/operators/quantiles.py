@@ -4,6 +4,7 @@ The built-in exact percentile keeps every distinct value of a group in one buffe
 Here a bounded sketch first brackets each wanted rank; one more pass counts the rows
 below the bracket and checks that the rank lies inside; only the rows inside the
 brackets (a few per ten thousand) are then grouped by value and ranked exactly.
+Where the first pass has counted few enough values, the built-in one is used.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from riskweave.operators.running import running_totals
 from riskweave.sources.scratch import staged
 
 ACCURACY = 10_000
+SMALL = 1_000_000  # values per group and column that the built-in percentile may hold
 
 
 @dataclass
@@ -50,11 +52,11 @@ def _doubles(frame: DataFrame, columns: Sequence[str], by: str | None) -> DataFr
     return frame.select(*keys, *picked)
 
 
-def _brackets(data: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> list[Target]:
-    """Bracket every target by a sketch, then count the rows below each bracket."""
+def _sketch(data: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> list:
+    """Count, ends and bracketing sketch values of every column: one row per group."""
     margin = 2.0 / ACCURACY
     asked = [max(0.0, s - margin) for s in shares] + [min(1.0, s + margin) for s in shares]
-    first = (
+    return (
         data.groupBy("_by")
         .agg(
             *[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)],
@@ -62,8 +64,31 @@ def _brackets(data: DataFrame, columns: Sequence[str], shares: Sequence[float])
             *[F.max(c).alias(f"max_{i}") for i, c in enumerate(columns)],
             *[F.percentile_approx(c, asked, ACCURACY).alias(f"q_{i}") for i, c in enumerate(columns)],
         )
-        .collect()  # one row per group
+        .collect()
+    )
+
+
+def _built_in(data: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> list[Target]:
+    rows = (
+        data.groupBy("_by")
+        .agg(
+            *[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)],
+            *[F.percentile(c, list(shares)).alias(f"p_{i}") for i, c in enumerate(columns)],
+        )
+        .collect()
     )
+    return [
+        Target(c, row["_by"], s, row[f"n_{i}"], row[f"p_{i}"][j], row[f"p_{i}"][j])
+        for row in rows
+        for i, c in enumerate(columns)
+        if row[f"n_{i}"]
+        for j, s in enumerate(shares)
+    ]
+
+
+def _brackets(data: DataFrame, first: list, columns: Sequence[str], shares: Sequence[float]) -> list[Target]:
+    """Bracket every target by the sketch, then count the rows below each bracket."""
+    margin = 2.0 / ACCURACY
     targets = []
     for row in first:
         for i, c in enumerate(columns):
@@ -106,7 +131,7 @@ def _brackets(data: DataFrame, columns: Sequence[str], shares: Sequence[float])
 
 
 def exact_percentiles(
-    frame: DataFrame, columns: Sequence[str], shares: Sequence[float], by: str | None = None
+    frame: DataFrame, columns: Sequence[str], shares: Sequence[float], by: str | None = None, small: int = SMALL
 ) -> list[Target]:
     """Exact linear-interpolation percentiles of several columns; ``Target.low`` holds the value.
 
@@ -114,7 +139,11 @@ def exact_percentiles(
     The result is one small record per (column, group, share).
     """
     data = _doubles(frame, columns, by)
-    targets = _brackets(data, columns, shares)
+    first = _sketch(data, columns, shares)
+    largest = max((row[f"n_{i}"] for row in first for i in range(len(columns))), default=0)
+    if largest <= small:
+        return _built_in(data, columns, shares)
+    targets = _brackets(data, first, columns, shares)
     open_targets = [t for t in targets if t.low < t.high]
     if open_targets:
         _close(data, open_targets)

@@ -19,16 +19,17 @@ def latency_summary(
     p95 and p99 take the value at sorted index ``int(n * p / 100)``, at most the last one.
     """
     ok = log.filter(~F.expr(failed))
+    good = F.when(~F.expr(failed), F.col(latency))
     totals = log.agg(
         F.count(F.lit(1)).alias("total_requests"),
         F.count_if(~F.expr(failed)).alias("successful_requests"),
         F.min(time).alias("first_at"),
         F.max(time).alias("last_at"),
+        F.avg(good).alias("mean"),
+        F.min(good).alias("min"),
+        F.max(good).alias("max"),
     )
-    stats = ok.agg(
-        F.count(latency).alias("n"), F.avg(latency).alias("mean"), F.min(latency).alias("min"), F.max(latency).alias("max")
-    )
-    n = stats.first()["n"]
+    n = ok.agg(F.count(latency).alias("n")).first()["n"]
     values: dict[str, float | None] = {"median": None, "p95": None, "p99": None}
     if n:
         # the indexed value is an exact percentile at a position without interpolation
@@ -36,7 +37,7 @@ def latency_summary(
         found = {t.share: t.low for t in exact_percentiles(ok, [latency], [0.5, *places.values()])}
         values = {"median": found[0.5], "p95": found[places[95]], "p99": found[places[99]]}
     seconds = F.timestamp_diff("MICROSECOND", F.col("first_at"), F.col("last_at")) / F.lit(1e6)
-    return totals.join(F.broadcast(stats)).select(  # one row each side
+    return totals.select(
         "total_requests",
         "successful_requests",
         F.round(F.col("successful_requests") / F.col("total_requests") * 100, 2).alias("success_rate"),

@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions import fixed_values as fv
@@ -208,14 +208,14 @@ def split_summary(frame: DataFrame, label: str = "is_fraud", split: str = "split
     parts = frame.groupBy(split).agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(label).alias("positives"), F.avg(label).alias("positive_rate")
     )
-    totals = parts.agg(
-        F.sum("n_rows").alias("_all"), F.sum(F.when(F.col(split).isNotNull(), F.col("n_rows"))).alias("_placed")
-    )  # one row
-    return parts.join(F.broadcast(totals)).select(
+    whole = Window.partitionBy(F.lit(0))  # one row per split
+    everything = F.sum("n_rows").over(whole)
+    placed = F.sum(F.when(F.col(split).isNotNull(), F.col("n_rows"))).over(whole)
+    return parts.select(
         split,
         "n_rows",
-        (F.col("n_rows") / F.col("_all")).alias("share"),
+        (F.col("n_rows") / everything).alias("share"),
         "positives",
         "positive_rate",
-        (F.col("_placed") == F.col("_all")).cast("int").alias("is_complete"),
+        (placed == everything).cast("int").alias("is_complete"),
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions import fixed_values as fv
@@ -185,12 +185,12 @@ def comparison_table(strategies: DataFrame) -> DataFrame:
 def strategy_artifact(strategies: DataFrame) -> DataFrame:
     """The stored form: strategies, notes, risk bands, default threshold and the recommended one."""
     # a handful of rows: whether target_performance exists decides the recommendation
-    has_target = strategies.agg(
-        F.max((F.col("strategy") == "target_performance").cast("int")).alias("_has_target")
+    is_target = F.col("strategy") == "target_performance"
+    recommended = F.when(F.max(is_target).over(Window.partitionBy(F.lit(0))), F.lit("target_performance")).otherwise(
+        F.lit("optimal_f1")
     )
-    recommended = F.when(F.col("_has_target") == 1, F.lit("target_performance")).otherwise(F.lit("optimal_f1"))
     bands = F.create_map(*[F.lit(x) for pair in fv.RISK_BANDS.items() for x in pair])
-    return strategies.join(F.broadcast(has_target)).select(
+    return strategies.select(
         *STRATEGY_COLUMNS,
         lookup(fv.STRATEGY_NOTES, F.col("strategy")).alias("description"),
         (F.col("strategy") == recommended).cast("int").alias("recommended"),

@@ -277,9 +277,9 @@ def p5(spark, sf):
 )
 def p6_gram(spark, sf):
     frame = warehouse.transactions(spark, sf)
-    rows = F.broadcast(frame.agg(F.count(F.lit(1)).alias("n")))  # one row
-    gram = profiling.gram_matrix(frame, NUM).join(rows)
-    return gram.select("feature_a", "feature_b", F.round(F.col("value") / F.col("n"), 4).alias("value"))
+    rows = frame.agg(F.count(F.lit(1))).scalar()
+    gram = profiling.gram_matrix(frame, NUM)
+    return gram.select("feature_a", "feature_b", F.round(F.col("value") / rows, 4).alias("value"))
 
 
 @query("p6_inflation_factors")
@@ -372,8 +372,8 @@ def p11(spark, sf):
 def p11_risky(spark, sf):
     rates = staged(profiling.temporal_rates(warehouse.transactions(spark, sf)), "temporal-rates")
     hours = rates.filter("dimension = 'hour'")
-    base = hours.agg((F.sum("positives") / F.sum("n")).alias("b"))  # one row
-    return rounded(profiling.risky_hours(hours.join(F.broadcast(base)), F.col("b"), factor=1.05))
+    base = hours.agg(F.sum("positives") / F.sum("n")).first()[0]
+    return rounded(profiling.risky_hours(hours, base, factor=1.05))
 
 
 @query(

@@ -462,15 +462,18 @@ def phi(spark, sf):
     "x2_probability_shift",
     tx(
         PHI
-        + """SELECT p.transaction_id, round(z, 6) AS log_odds,
-    round(1.0::DOUBLE / (1.0::DOUBLE + exp(-z)) - 1.0::DOUBLE / (1.0::DOUBLE + exp(-(z - x))), 6) + 0.0::DOUBLE AS shift
-    FROM phi p JOIN total USING (transaction_id) WHERE feature_index = 4"""
+        + """SELECT CAST(feature_index AS INTEGER) AS feature_index, round(avg(z), 6) AS mean_log_odds,
+    round(avg(1.0::DOUBLE / (1.0::DOUBLE + exp(-z)) - 1.0::DOUBLE / (1.0::DOUBLE + exp(-(z - x)))), 9) AS mean_shift
+    FROM phi p JOIN total USING (transaction_id) GROUP BY 1"""
     ),
 )
 def x2(spark, sf):
     framed = importance.with_log_odds(phi(spark, sf))
-    shift = importance.probability_shift(F.get("contributions", F.lit(4)), F.col("log_odds"))
-    return rounded(framed.select("transaction_id", "log_odds", shift.alias("shift")))
+    rows = framed.select("log_odds", F.posexplode("contributions").alias("feature_index", "x"))
+    shift = importance.probability_shift(F.col("x"), F.col("log_odds"))
+    return rows.groupBy("feature_index").agg(
+        F.round(F.avg("log_odds"), 6).alias("mean_log_odds"), F.round(F.avg(shift), 9).alias("mean_shift")
+    )
 
 
 @query(
