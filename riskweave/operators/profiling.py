@@ -101,15 +101,19 @@ def category_rates(
     risk_factor: float = 1.5,
 ) -> DataFrame:
     """Positives, rows and rate (in percent) per category, flagged above ``risk_factor`` x baseline."""
-    rates = (
+    counts = (
         unpivoted(frame, columns, [label])
-        .filter(F.col("value").isNotNull())
         .groupBy("feature", "value")
         .agg(F.sum(label).alias("target_count"), F.count(label).alias("total_count"))
+    )
+    # every row is counted once per feature, above and below the line, so this is the overall rate;
+    # it reads the grouped counts, not the rows again
+    overall = counts.agg(F.sum("target_count") / F.sum("total_count"))
+    rates = (
+        counts.filter(F.col("value").isNotNull())
         .withColumn("target_rate", F.col("target_count") / F.col("total_count") * 100)
+        .withColumn("_base", overall.scalar() if baseline is None else F.lit(float(baseline)))
     )
-    base = frame.agg(F.avg(label)).scalar() if baseline is None else F.lit(float(baseline))
-    rates = rates.withColumn("_base", base)
     return rates.select(
         "feature",
         "value",

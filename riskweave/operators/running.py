@@ -33,13 +33,6 @@ def range_boundaries(frame: DataFrame, order: str, rows_per_range: int = ROWS_PE
     return sorted(set(cuts))
 
 
-def with_range(frame: DataFrame, order: str, cuts: list[float]) -> DataFrame:
-    if not cuts:
-        return frame.withColumn("_range", F.lit(0.0))
-    splits = [float("-inf"), *cuts, float("inf")]
-    return Bucketizer(splits=splits, inputCol=order, outputCol="_range", handleInvalid="keep").transform(frame)
-
-
 def running_totals(
     frame: DataFrame,
     order: str,
@@ -57,9 +50,13 @@ def running_totals(
     """
     by = list(by)
     cuts = range_boundaries(frame, order, rows_per_range)
-    ranged = with_range(frame, order, cuts)
+    in_order = F.col(order).desc() if descending else F.col(order).asc()
+    if not cuts:  # at most rows_per_range rows in all: one window per group
+        return _single_range(frame, in_order, totals, by, following)
+    splits = [float("-inf"), *cuts, float("inf")]
+    ranged = Bucketizer(splits=splits, inputCol=order, outputCol="_range", handleInvalid="keep").transform(frame)
 
-    sign = F.col("_range").desc() if descending else F.col("_range").asc()
+    range_order = F.col("_range").desc() if descending else F.col("_range").asc()
     edge = F.max_by if descending else F.min_by
     sums = [F.sum(c).alias(f"_sum_{c}") for c in totals]
     if following:
@@ -67,9 +64,8 @@ def running_totals(
     per_range = ranged.groupBy(*by, "_range").agg(*sums)
 
     # At most MAX_RANGES rows per group: bounded whatever the size of ``frame``.
-    group = [F.col(c) for c in by] or [F.lit(0)]
-    whole = Window.partitionBy(*group)
-    ahead = whole.orderBy(sign)
+    whole = Window.partitionBy(*_group(by))
+    ahead = whole.orderBy(range_order)
     before = ahead.rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select(
         *by,
@@ -79,7 +75,7 @@ def running_totals(
         *([F.lead("_edge").over(ahead).alias("_next_edge")] if following else []),
     )
 
-    inner = Window.partitionBy(*by, "_range").orderBy(F.col(order).desc() if descending else F.col(order).asc())
+    inner = Window.partitionBy(*by, "_range").orderBy(in_order)
     run = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = ranged.join(offsets, [*by, "_range"])
 
@@ -92,3 +88,21 @@ def running_totals(
         *[F.col(f"all_{c}") for c in totals],
         *[next_value(c) for c in following],
     )
+
+
+def _group(by: Sequence[str]) -> list[Column]:
+    return [F.col(c) for c in by] or [F.lit(0)]
+
+
+def _single_range(
+    frame: DataFrame, in_order: Column, totals: Sequence[str], by: Sequence[str], following: Sequence[str]
+) -> DataFrame:
+    whole = Window.partitionBy(*_group(by))
+    ordered = whole.orderBy(in_order)
+    run = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return frame.select(
+        *frame.columns,
+        *[F.sum(c).over(run).alias(f"cum_{c}") for c in totals],
+        *[F.sum(c).over(whole).alias(f"all_{c}") for c in totals],
+        *[F.lead(c).over(ordered).alias(f"next_{c}") for c in following],
+    )

@@ -102,7 +102,7 @@ def ranked_blocks(
     hashed = frame.select(_class_expr(label).alias("c"), key_hash(seed, keys).alias("h"))
     wanted = {c: [e for e in ends if e > 0] for c, ends in block_ends.items()}
     cut = _cutoffs(hashed, wanted)
-    h, cls = key_hash(seed, keys), _class_expr(label)
+    h, cls = F.col("_hash"), _class_expr(label)
     block = F.lit(None)
     for c, ends in block_ends.items():
         chain = F.lit(names[len(ends)])
@@ -110,7 +110,8 @@ def ranked_blocks(
             if ends[i] > 0:
                 chain = F.when(h <= F.lit(cut[(c, ends[i])]), F.lit(names[i])).otherwise(chain)
         block = F.when(cls.eqNullSafe(F.lit(c)), chain).otherwise(block)
-    return frame.withColumn(output, block)
+    # the hash is its own column so that it is computed once per row, not once per comparison
+    return frame.withColumn("_hash", key_hash(seed, keys)).withColumn(output, block).drop("_hash")
 
 
 def apportioned(sizes: dict[str, int], wanted: int) -> dict[str, int]:
