@@ -101,9 +101,11 @@ def batch_contributions(leaves: list[Leaf], values: np.ndarray) -> np.ndarray:
         m = len(leaf.features)
         if m == 0:
             continue
-        hits = _hits(leaf, values)
-        patterns, which = np.unique(hits, axis=0, return_inverse=True)
-        total[:, leaf.features] += _leaf_contributions(leaf, patterns)[which.reshape(-1)]
+        # rows that meet the same conditions share their values; few patterns occur
+        bits = np.arange(m)
+        codes, which = np.unique(_hits(leaf, values) @ (1 << bits), return_inverse=True)
+        patterns = (codes[:, None] >> bits) & 1
+        total[:, leaf.features] += _leaf_contributions(leaf, patterns)[which]
     return total
 
 

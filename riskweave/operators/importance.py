@@ -53,27 +53,19 @@ def top_contributors(
     labels = F.array(*[F.lit(fv.FEATURE_LABELS.get(f, f)) for f in features])
     framed = with_log_odds(frame)
     indexed = F.transform(
-        F.col("contributions"),
-        lambda x, i: F.struct(
-            (-F.abs(x)).alias("rank_key"),
-            i.alias("i"),
-            F.get(names, i).alias("feature"),
-            F.get(labels, i).alias("display_name"),
-            (F.get(values, i) if values is not None else F.lit(None).cast("double")).alias("value"),
-            x.alias("contribution_log_odds"),
-        ),
+        F.col("contributions"), lambda x, i: F.struct((-F.abs(x)).alias("rank_key"), i.alias("i"), x.alias("x"))
     )
-    kept = F.filter(indexed, lambda s: s["contribution_log_odds"] > 0) if only_positive else indexed
-    first = F.slice(F.array_sort(kept), 1, top_n)  # struct order: size, then feature index
+    kept = F.filter(indexed, lambda s: s["x"] > 0) if only_positive else indexed
+    first = F.slice(F.sort_array(kept), 1, top_n)  # struct order: size, then feature index
     total = F.col("log_odds")
     records = F.transform(
         first,
         lambda s: F.struct(
-            s["feature"].alias("feature"),
-            s["display_name"].alias("display_name"),
-            s["value"].alias("value"),
-            s["contribution_log_odds"].alias("contribution_log_odds"),
-            probability_shift(s["contribution_log_odds"], total).alias("contribution_probability"),
+            F.get(names, s["i"]).alias("feature"),
+            F.get(labels, s["i"]).alias("display_name"),
+            (F.get(values, s["i"]) if values is not None else F.lit(None).cast("double")).alias("value"),
+            s["x"].alias("contribution_log_odds"),
+            probability_shift(s["x"], total).alias("contribution_probability"),
         ),
     )
     return framed.withColumn("top_contributors", records)

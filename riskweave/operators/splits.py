@@ -29,26 +29,33 @@ def _class_expr(label: str | None) -> Column:
     return F.col(label).cast("string") if label else F.lit("all")
 
 
-def class_sizes(frame: DataFrame, label: str | None) -> dict[str, int]:
-    rows = frame.groupBy(_class_expr(label).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
-    return {r["c"]: r["n"] for r in rows}
+def _hashed(frame: DataFrame, label: str | None, seed: int, keys: Sequence[str]) -> DataFrame:
+    return frame.select(_class_expr(label).alias("c"), key_hash(seed, keys).alias("h"))
 
 
-def _cutoffs(hashed: DataFrame, ranks: dict[str, list[int]]) -> dict[tuple[str, int], str]:
-    """Hash value at each wanted rank (1-based) of each class."""
+def _prefix_counts(hashed: DataFrame, depth: int) -> list:
+    """Rows per class and hash prefix; at most 4096 rows per class (or per open prefix)."""
+    prefix = F.substring("h", 1, depth).alias("p")
+    return hashed.groupBy("c", prefix).agg(F.count(F.lit(1)).alias("n")).collect()
+
+
+def class_sizes(counts: list) -> dict[str, int]:
+    sizes: dict[str, int] = {}
+    for row in counts:
+        sizes[row["c"]] = sizes.get(row["c"], 0) + row["n"]
+    return sizes
+
+
+def _cutoffs(hashed: DataFrame, ranks: dict[str, list[int]], counts: list) -> dict[tuple[str, int], str]:
+    """Hash value at each wanted rank (1-based) of each class; ``counts`` are the first prefix counts."""
     # open item: (class, rank, prefix, rows of the class before the prefix)
     open_items = [(c, r, "", 0) for c, wanted in ranks.items() for r in wanted]
     out: dict[tuple[str, int], str] = {}
     depth = 0
     while open_items:
         depth += PREFIX_STEP
-        prefixes = sorted({(c, p) for c, _, p, _ in open_items})
-        counts = (
-            hashed.filter(_under(prefixes))
-            .groupBy("c", F.substring("h", 1, depth).alias("p"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .collect()  # at most 4096 rows per open prefix
-        )
+        if depth > PREFIX_STEP:
+            counts = _prefix_counts(hashed.filter(_under(sorted({(c, p) for c, _, p, _ in open_items}))), depth)
         per_class: dict[str, list] = {}
         for row in sorted(counts, key=lambda r: r["p"]):
             per_class.setdefault(row["c"], []).append(row)
@@ -90,6 +97,7 @@ def ranked_blocks(
     keys: Sequence[str],
     label: str | None,
     seed: int,
+    counts: list,
     block_ends: dict[str, list[int]],
     names: Sequence,
     output: str,
@@ -99,9 +107,8 @@ def ranked_blocks(
     ``block_ends[class]`` holds the last rank of every block but the final one.  ``keys``
     must identify a row; rows that share a key share a block.
     """
-    hashed = frame.select(_class_expr(label).alias("c"), key_hash(seed, keys).alias("h"))
     wanted = {c: [e for e in ends if e > 0] for c, ends in block_ends.items()}
-    cut = _cutoffs(hashed, wanted)
+    cut = _cutoffs(_hashed(frame, label, seed, keys), wanted, counts)
     h, cls = F.col("_hash"), _class_expr(label)
     block = F.lit(None)
     for c, ends in block_ends.items():
@@ -141,7 +148,8 @@ def train_val_test(
     """
     if abs(train + validation + test - 1.0) > 1e-6:
         raise ValueError(f"ratios must sum to 1.0, got {train + validation + test}")
-    sizes = class_sizes(frame, label)
+    counts = _prefix_counts(_hashed(frame, label, seed, keys), PREFIX_STEP)
+    sizes = class_sizes(counts)
     n = sum(sizes.values())
     n_test = math.ceil(round(test * n, 6))
     in_test = apportioned(sizes, n_test)
@@ -149,8 +157,7 @@ def train_val_test(
     n_val = math.ceil(round(validation / (1 - test) * (n - n_test), 6)) if n > n_test else 0
     in_val = apportioned(rest, n_val)
     ends = {c: [in_test[c], in_test[c] + in_val[c]] for c in sizes}
-    # an empty validation block must not repeat the test cut-off as its own
-    return ranked_blocks(frame, keys, label, seed, ends, ["test", "validation", "train"], output)
+    return ranked_blocks(frame, keys, label, seed, counts, ends, ["test", "validation", "train"], output)
 
 
 def stratified_folds(
@@ -166,13 +173,14 @@ def stratified_folds(
     Position i of the rows laid out class after class belongs to fold i mod k; a class's
     count per fold follows from that, and hash ranks fill the folds in blocks.
     """
-    sizes = class_sizes(frame, label)
+    counts = _prefix_counts(_hashed(frame, label, seed, keys), PREFIX_STEP)
+    sizes = class_sizes(counts)
     ends, start = {}, 0
     for c in sorted(sizes):
         quota = [len(range((f - start) % folds, sizes[c], folds)) for f in range(folds)]
         ends[c] = [sum(quota[: i + 1]) for i in range(folds - 1)]
         start += sizes[c]
-    return ranked_blocks(frame, keys, label, seed, ends, list(range(folds)), output)
+    return ranked_blocks(frame, keys, label, seed, counts, ends, list(range(folds)), output)
 
 
 def combined(first: DataFrame, second: DataFrame) -> DataFrame:

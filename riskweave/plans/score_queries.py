@@ -489,8 +489,9 @@ def x2(spark, sf):
 )
 def x3(spark, sf):
     top = importance.top_contributors(phi(spark, sf))
-    rows = top.select("transaction_id", F.posexplode("top_contributors").alias("pos", "c"))
-    return rows.select(
+    # the outer form: the plain one adds a filter that computes the whole array a second time
+    rows = top.select("transaction_id", F.posexplode_outer("top_contributors").alias("pos", "c"))
+    return rows.filter(F.col("pos").isNotNull()).select(
         "transaction_id",
         (F.col("pos") + 1).alias("rank"),
         "c.feature",

@@ -15,7 +15,7 @@ from riskweave.operators.curves import curve_of
 from riskweave.operators.featurizer import TransactionFeaturizer, TransactionFeaturizerModel
 from riskweave.operators.splits import split_summary, train_val_test
 from riskweave.sources import artifacts
-from riskweave.sources.scratch import staged
+from riskweave.sources.scratch import spread, staged
 
 CARRIED = ["transaction_id", "split", "is_fraud"]
 
@@ -40,7 +40,7 @@ def prepared(raw: DataFrame, seed: int = fv.DEFAULT_SEED) -> tuple[DataFrame, Tr
     """Split rows with their final features (statistics from train only), stored once."""
     placed = staged(train_val_test(raw, "is_fraud", seed=seed), "split")
     featurizer = TransactionFeaturizer(keepColumns=CARRIED).fit(placed.filter("split = 'train'"))
-    return staged(featurizer.transform(placed), "features"), featurizer
+    return staged(spread(featurizer.transform(placed)), "features"), featurizer
 
 
 def train(

@@ -38,6 +38,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/riskweave/{label}-{uuid.uuid4().hex}"
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Raise a narrow frame to at least one partition per core before repeated heavy work.
+
+    Only inputs too small to fill the cores are shuffled; anything larger is left alone.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def staged(frame: DataFrame, label: str) -> DataFrame:
     """Write ``frame`` once as Parquet and return a reader over the written table."""
     spark = frame.sparkSession
