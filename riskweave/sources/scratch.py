@@ -20,11 +20,12 @@ def scratch_root(spark: SparkSession) -> str:
     configured = spark.conf.get(CONF_KEY, None) or spark.sparkContext.getConf().get(CONF_KEY, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"{CONF_KEY} must name a shared folder when running on a cluster")
-    root = tempfile.mkdtemp(prefix="riskweave-")
-    spark.conf.set(CONF_KEY, root)
-    return root
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"{CONF_KEY} must name a shared folder when running on a cluster")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="riskweave-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def use_checkpoints(spark: SparkSession) -> None:
