@@ -100,8 +100,9 @@ def roc_points(
         F.when(F.col("fp") + F.col("tn") > 0, F.col("fp") / (F.col("fp") + F.col("tn"))).alias("fpr"),
         F.col("recall").alias("tpr"),
     )
-    starts = curve.filter(F.col("position") == 0) if by else curve.limit(1)
-    start = starts.select(*by, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    # the lowest threshold is always kept, so it stands for its group
+    groups = curve.filter(F.col("position") == 0) if by else scored.sparkSession.range(1)
+    start = groups.select(*by, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return points.unionByName(start)
 
 

@@ -14,6 +14,7 @@ from riskweave.functions import fixed_values as fv
 from riskweave.functions.expressions import flag, ratio_if_positive, ratio_zero_as_one
 from riskweave.functions.temporal import local_wall_time, require_utc_wall_time, time_part_columns
 from riskweave.operators.quantiles import exact_percentiles, percentile_values
+from riskweave.sources.files import require_path
 from riskweave.sources.schemas import FITTED_STATISTICS
 
 # --- fixed values: fitted percentiles -----------------------------------------
@@ -66,8 +67,19 @@ class FittedStatistics:
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> FittedStatistics:
+        require_path(spark, path)
         return FittedStatistics.from_frame(spark.read.schema(FITTED_STATISTICS).json(path))
 
+    @staticmethod
+    def load_or_fit(spark: SparkSession, path: str, train: DataFrame) -> FittedStatistics:
+        """The stored statistics; if there are none, fit them on ``train`` and store them."""
+        try:
+            return FittedStatistics.load(spark, path)
+        except FileNotFoundError:
+            stats = FittedStatistics.fit(train)
+            stats.save(spark, path)
+            return stats
+
 
 def with_local_time(
     frame: DataFrame,

@@ -155,20 +155,21 @@ def describe(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def label_correlations(frame: DataFrame, columns: Sequence[str], label: str = "is_fraud") -> DataFrame:
     """Pearson correlation with the label, strongest first; a constant column gives NULL."""
-    aggregates = []
+    aggregates, rows = [], []
     for c in columns:
+        y = F.col(label).cast("double")
+        x = F.when(y.isNotNull(), F.col(c).cast("double"))
+        y = F.when(x.isNotNull(), y)
+        # from the moments: the built-in correlation fails on a constant side
         aggregates += [
-            F.corr(F.col(c).cast("double"), F.col(label).cast("double")).alias(f"r_{c}"),
+            F.covar_pop(x, y).alias(f"c_{c}"),
+            (F.stddev_pop(x) * F.stddev_pop(y)).alias(f"s_{c}"),
+            ((F.min(x) < F.max(x)) & (F.min(y) < F.max(y))).alias(f"v_{c}"),
         ]
-    constant = frame.agg(
-        *[(F.min(c) < F.max(c)).alias(c) for c in [*columns, label]]
-    ).first()  # a constant side makes the correlation divide by zero
-    live = [c for c in columns if constant[c] and constant[label]]
-    by_name = dict(zip(columns, aggregates))
-    found = frame.agg(F.count(F.lit(1)).alias("_rows"), *[by_name[c] for c in live])
-    rows = [[F.lit(c), F.col(f"r_{c}") if c in live else F.lit(None).cast("double")] for c in columns]
+        rows.append([F.lit(c), F.when(F.col(f"v_{c}"), F.col(f"c_{c}") / F.col(f"s_{c}"))])
     return (
-        found.select(stacked(rows, ["feature", "correlation"]))
+        frame.agg(*aggregates)
+        .select(stacked(rows, ["feature", "correlation"]))
         .select("row.*")
         .orderBy(F.abs("correlation").desc_nulls_last(), "feature")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskweave.functions import fixed_values as fv
 from riskweave.operators import features as fe
 from riskweave.operators import splits
+from riskweave.operators.importance import display_name
 from riskweave.operators.featurizer import TransactionFeaturizer
 from riskweave.plans.data_queries import RANKED
 from riskweave.plans.registry import query, rounded, tx
@@ -299,7 +300,7 @@ def f15(spark, sf):
 
 
 @query(
-    "feature_display_names",
+    "x13_display_names",
     tx(
         featured_sql()
         + "SELECT feature, label, round(avg(v), 6) AS mean_value FROM ("
@@ -311,8 +312,6 @@ def f15(spark, sf):
     ),
 )
 def x13(spark, sf):
-    from riskweave.operators.importance import display_name
-
     frame = base(spark, sf)
     columns = ["amount", "hour_local", "security_score", "verification_failures"]
     values = fe.engineered(frame, fe.FittedStatistics.fit(frame)).select(

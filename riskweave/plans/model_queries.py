@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.functions import fixed_values as fv
-from riskweave.operators import boosted_trees, experiments, importance, learners, metrics, profiling, scoring, search
+from riskweave.operators import boosted_trees, experiments, importance, learners, profiling, scoring, search
 from riskweave.operators import thresholds as th
 from riskweave.operators.curves import curve_of
 from riskweave.operators.encoders import OrdinalCodes, ScaledDummies, linear_encoding
@@ -102,8 +102,7 @@ def prepared(spark, sf):
 def _held_out(spark, sf, family, params):
     data = prepared(spark, sf)
     model = learners.fit(data.filter("split = 'train'"), family, params)
-    scored = learners.scored_table(model, data.filter("split = 'validation'"))
-    return metrics.evaluate(scored.withColumn("model", F.lit(family)), ["model"])
+    return training_job.evaluated(model, data.filter("split = 'validation'"), family, "validation")
 
 
 @query("m4_logistic_regression")

@@ -43,6 +43,14 @@ def prepared(raw: DataFrame, seed: int = fv.DEFAULT_SEED) -> tuple[DataFrame, Tr
     return staged(spread(featurizer.transform(placed)), "features"), featurizer
 
 
+def evaluated(model: PipelineModel, frame: DataFrame, model_name: str, dataset_name: str) -> DataFrame:
+    """All metrics and confusion counts of a model on a labelled feature frame, tagged with both names."""
+    tagged = learners.scored_table(model, frame).withColumns(
+        {"model": F.lit(model_name), "dataset": F.lit(dataset_name)}
+    )
+    return metrics.evaluate(tagged, ["model", "dataset"])
+
+
 def train(
     raw: DataFrame, family: str = learners.BOOSTED, params: Mapping | None = None, seed: int = fv.DEFAULT_SEED
 ) -> Trained:

@@ -131,6 +131,14 @@ def test_statistics_round_trip(spark, transactions, tmp_path):
     assert fe.FittedStatistics.load(spark, str(tmp_path / "stats")) == stats
 
 
+def test_statistics_are_fitted_once(spark, transactions, tmp_path):
+    path = str(tmp_path / "stats")
+    with pytest.raises(FileNotFoundError):
+        fe.FittedStatistics.load(spark, path)
+    first = fe.FittedStatistics.load_or_fit(spark, path, transactions)
+    assert fe.FittedStatistics.load_or_fit(spark, path, transactions.filter("amount < 10")) == first
+
+
 def test_featurizer_uses_training_statistics_only(spark, transactions):
     small = transactions.filter("amount < 100")
     model = TransactionFeaturizer().fit(small)
