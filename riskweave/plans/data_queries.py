@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -236,17 +238,15 @@ def p3(spark, sf):
     return rounded(profiling.describe(warehouse.transactions(spark, sf), NUM))
 
 
-@query(
-    "p4_mutual_information",
-    tx(
-        f""", u AS ({unpivot_sql(CAT, extra=", is_fraud AS y")}),
-    c AS (SELECT feature, value, y, count(*)::DOUBLE AS n FROM u GROUP BY 1, 2, 3),
+MI = f""", u AS ({unpivot_sql(CAT, extra=", is_fraud AS y")}),
+    cells AS (SELECT feature, value, y, count(*)::DOUBLE AS n FROM u GROUP BY 1, 2, 3),
     m AS (SELECT *, sum(n) OVER (PARTITION BY feature, value) AS nx, sum(n) OVER (PARTITION BY feature, y) AS ny,
-                 sum(n) OVER (PARTITION BY feature) AS total FROM c)
-    SELECT feature, round(greatest(0.0, sum(n / total * ln(n * total / (nx * ny)))), 6) AS mi_score
-    FROM m GROUP BY feature"""
-    ),
-)
+                 sum(n) OVER (PARTITION BY feature) AS total FROM cells),
+    mi AS (SELECT feature, greatest(0.0, sum(n / total * ln(n * total / (nx * ny)))) AS mi_score FROM m GROUP BY feature)
+"""
+
+
+@query("p4_mutual_information", tx(MI + "SELECT feature, round(mi_score, 6) AS mi_score FROM mi"))
 def p4(spark, sf):
     return rounded(profiling.mutual_information(warehouse.transactions(spark, sf), CAT))
 
@@ -282,14 +282,52 @@ def p6_gram(spark, sf):
     return gram.select("feature_a", "feature_b", F.round(F.col("value") / rows, 4).alias("value"))
 
 
-@query("p6_inflation_factors")
+def determinant_sql(size: list[int]) -> str:
+    """Determinant of the scaled Gram matrix over the given rows and columns, by permutations."""
+    terms = []
+    for order in itertools.permutations(range(len(size))):
+        swaps = sum(order[i] > order[j] for i in range(len(order)) for j in range(i + 1, len(order)))
+        cells = [(size[i], size[j]) for i, j in enumerate(order) if size[i] != size[j]]
+        factors = [f"r{min(c)}{max(c)}" for c in cells] or ["1.0::DOUBLE"]
+        terms.append(("-" if swaps % 2 else "+") + "*".join(factors))
+    return "(" + "".join(terms) + ")"
+
+
+# VIF_i = det(scaled Gram without i) / det(scaled Gram)
+VIF = (
+    ", gram AS (SELECT "
+    + ", ".join(
+        f"sum({a}::DOUBLE * {b}) / sqrt(sum({a}::DOUBLE * {a}) * sum({b}::DOUBLE * {b})) AS r{i}{j}"
+        for i, a in enumerate(NUM)
+        for j, b in enumerate(NUM)
+        if i < j
+    )
+    + " FROM tx), vif AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {determinant_sql([j for j in range(len(NUM)) if j != i])} / "
+        f"{determinant_sql(list(range(len(NUM))))} AS vif FROM gram"
+        for i, c in enumerate(NUM)
+    )
+    + ")\n"
+)
+
+
+@query("p6_inflation_factors", tx(VIF + "SELECT feature, round(vif, 6) AS vif FROM vif"))
 def p6(spark, sf):
-    return profiling.inflation_factors(warehouse.transactions(spark, sf), NUM)
+    return rounded(profiling.inflation_factors(warehouse.transactions(spark, sf), NUM))
 
 
-@query("p7_inflation_bands")
+@query(
+    "p7_inflation_bands",
+    tx(
+        VIF
+        + """SELECT feature, round(vif, 6) AS vif,
+    CASE WHEN vif > 10 THEN 'high' WHEN vif > 5 THEN 'moderate' ELSE 'low' END AS band FROM vif"""
+    ),
+)
 def p7(spark, sf):
-    return profiling.inflation_bands(profiling.inflation_factors(warehouse.transactions(spark, sf), NUM))
+    factors = profiling.inflation_factors(warehouse.transactions(spark, sf), NUM)
+    return rounded(profiling.inflation_bands(factors))
 
 
 @query(
@@ -398,9 +436,21 @@ def p13(spark, sf):
     return rounded(profiling.baseline_rate(warehouse.transactions(spark, sf)))
 
 
-@query("p14_screening_report")
+@query(
+    "p14_screening_report",
+    tx(
+        VIF
+        + MI
+        + f""", nums AS ({number_sql(NUM, extra=", is_fraud AS y")}),
+    r AS (SELECT feature, corr(v, y) AS c FROM nums GROUP BY feature)
+    SELECT feature, 'keep' AS action, 'label correlation' AS reason, round(c, 6) AS value
+      FROM (SELECT * FROM r ORDER BY abs(c) DESC, feature LIMIT 5)
+    UNION ALL SELECT feature, 'keep', 'mutual information', round(mi_score, 6) FROM mi WHERE mi_score > 0.01
+    UNION ALL SELECT feature, 'drop', 'variance inflation', round(vif, 6) FROM vif WHERE vif > 10"""
+    ),
+)
 def p14(spark, sf):
-    return profiling.screening_report(warehouse.transactions(spark, sf), NUM, CAT)
+    return rounded(profiling.screening_report(warehouse.transactions(spark, sf), NUM, CAT))
 
 
 @query(

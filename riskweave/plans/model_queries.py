@@ -256,6 +256,29 @@ def l1(spark, sf):
     return accepted
 
 
+@query(
+    "l1_score_batch_consistency",
+    tx("""SELECT count(*) FILTER (transaction_id % 50 NOT BETWEEN 1 AND 6) AS n_accepted,
+    count(*) FILTER (transaction_id % 50 BETWEEN 1 AND 6) AS n_rejected,
+    count(*) FILTER (transaction_id % 50 NOT BETWEEN 1 AND 6) AS n_decided,
+    count(*) FILTER (transaction_id % 50 NOT BETWEEN 1 AND 6) AS n_banded,
+    count(*) FILTER (transaction_id % 50 NOT BETWEEN 1 AND 6) AS n_explained FROM tx"""),
+)
+def l1_consistency(spark, sf):
+    """Rows accepted and rejected, and accepted rows whose decision, band and explanation fit their probability."""
+    requests = data_queries.broken_requests(spark, sf)
+    accepted, rejected = scoring_job.score_batch(requests, deployed(spark, sf), include_explanation=True)
+    p = F.col("probability")
+    band = F.when(p >= 0.7, "high").when(p >= 0.3, "medium").otherwise("low")
+    explained = F.abs(F.col("explanation.final_fraud_probability") - p) < 1e-9
+    return accepted.agg(
+        F.count(F.lit(1)).alias("n_accepted"),
+        F.count_if(F.col("is_fraud_predicted") == (p >= F.col("threshold_value")).cast("int")).alias("n_decided"),
+        F.count_if(F.col("risk_level") == band).alias("n_banded"),
+        F.count_if(explained).alias("n_explained"),
+    ).withColumn("n_rejected", rejected.agg(F.count(F.lit(1))).scalar())
+
+
 @query("l5_score_batch_explained")
 def l5(spark, sf):
     ready = deployed(spark, sf)
@@ -304,13 +327,14 @@ def _run_stream(spark, sf):
         + """SELECT s.transaction_id, CAST(score >= threshold AS INTEGER) AS is_fraud_predicted, score AS probability,
       CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.3 THEN 'medium' ELSE 'low' END AS risk_level,
       strategy AS threshold_used, threshold AS threshold_value, '1.0' AS model_version,
-      CASE WHEN s.transaction_id % 50 <> 7 THEN hour_local END AS hour_local, is_large_transaction, country_mismatch
+      CASE WHEN s.transaction_id % 50 <> 7 THEN hour_local ELSE -1 END AS hour_local, is_large_transaction, country_mismatch
     FROM scored s JOIN featured f ON s.transaction_id = f.transaction_id, strategies
     WHERE strategy = 'target_performance' AND s.transaction_id % 50 NOT BETWEEN 1 AND 6"""
     ),
 )
 def l6(spark, sf):
-    return spark.read.parquet(f"{_run_stream(spark, sf)}/accepted").drop("batch_id")
+    accepted = spark.read.parquet(f"{_run_stream(spark, sf)}/accepted").drop("batch_id")
+    return accepted.withColumn("hour_local", F.coalesce("hour_local", F.lit(-1)))
 
 
 @query(

@@ -15,6 +15,18 @@ DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+# Sizes for a large cluster reading tables of many terabytes: many small shuffle partitions that
+# adaptive execution merges, input splits that fit a task, and skewed partitions split early.
+LARGE_CLUSTER = {
+    "spark.sql.shuffle.partitions": "16384",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
+}
+
 
 def build_session(app: str = "riskweave", master: str | None = None, **overrides: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)

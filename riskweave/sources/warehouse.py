@@ -10,8 +10,18 @@ COUNTRIES = ["US", "GB", "FR", "DE", "IT", "ES", "CA", "AU", "JP", "BR", "NL", "
 CATEGORIES = ["electronics", "fashion", "grocery", "gaming", "travel"]
 
 
+# Column types of the warehouse tables; stating them saves the job that would read them from the files.
+TABLES = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _pick(values: list[str], index: Column) -> Column:
