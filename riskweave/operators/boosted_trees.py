@@ -31,6 +31,14 @@ class Leaf:
     low: np.ndarray  # value > low
     high: np.ndarray  # value <= high
     cover: np.ndarray  # share of cover along the path, per feature
+    table: np.ndarray | None = None  # contributions by hit pattern, for short paths
+
+    @property
+    def bits(self) -> np.ndarray:
+        return np.arange(len(self.features))
+
+
+TABLE_FEATURES = 5  # paths up to this length get a table: at most 32 patterns
 
 
 def boosted_stage(model: PipelineModel | GBTClassificationModel) -> GBTClassificationModel:
@@ -54,7 +62,10 @@ def leaves_of(model: PipelineModel | GBTClassificationModel) -> list[Leaf]:
             if node.subtreeDepth() == 0:
                 names = sorted(path)
                 columns = [np.array([path[f][i] for f in names], dtype=float) for i in range(3)]
-                out.append(Leaf(t, 2.0 * weight * node.prediction(), np.array(names, dtype=int), *columns))
+                leaf = Leaf(t, 2.0 * weight * node.prediction(), np.array(names, dtype=int), *columns)
+                if 0 < len(names) <= TABLE_FEATURES:
+                    leaf.table = _pattern_contributions(leaf, np.arange(1 << len(names)))
+                out.append(leaf)
                 continue
             split = node.split()
             feature, cut = split.featureIndex(), split.threshold()
@@ -94,18 +105,26 @@ def _leaf_contributions(leaf: Leaf, hits: np.ndarray) -> np.ndarray:
     return out
 
 
+def _pattern_contributions(leaf: Leaf, codes: np.ndarray) -> np.ndarray:
+    """Contributions for hit patterns given as bit codes, one row per code."""
+    return _leaf_contributions(leaf, (codes[:, None] >> leaf.bits) & 1)
+
+
 def batch_contributions(leaves: list[Leaf], values: np.ndarray) -> np.ndarray:
-    """Contribution of every feature for a batch of rows."""
+    """Contribution of every feature for a batch of rows.
+
+    Rows that meet the same conditions of a path share their values.
+    """
     total = np.zeros(values.shape)
     for leaf in leaves:
-        m = len(leaf.features)
-        if m == 0:
+        if len(leaf.features) == 0:
             continue
-        # rows that meet the same conditions share their values; few patterns occur
-        bits = np.arange(m)
-        codes, which = np.unique(_hits(leaf, values) @ (1 << bits), return_inverse=True)
-        patterns = (codes[:, None] >> bits) & 1
-        total[:, leaf.features] += _leaf_contributions(leaf, patterns)[which]
+        codes = _hits(leaf, values) @ (1 << leaf.bits)
+        if leaf.table is not None:
+            total[:, leaf.features] += leaf.table[codes]
+        else:
+            seen, which = np.unique(codes, return_inverse=True)
+            total[:, leaf.features] += _pattern_contributions(leaf, seen)[which]
     return total
 
 

@@ -38,6 +38,9 @@ class FittedStatistics:
     @staticmethod
     def fit(train: DataFrame, rounded: bool = True, **settings) -> FittedStatistics:
         found = percentile_values(train, FITTED_SHARES)
+        missing = [c for c in FITTED_SHARES if c not in found]
+        if missing:
+            raise ValueError(f"no values to fit on in {missing}")
         amount, total, distance = (found[c] for c in FITTED_SHARES)
         if rounded:
             amount, total, distance = round(amount, 2), int(total), round(distance, 1)

@@ -131,6 +131,11 @@ def test_statistics_round_trip(spark, transactions, tmp_path):
     assert fe.FittedStatistics.load(spark, str(tmp_path / "stats")) == stats
 
 
+def test_nothing_to_fit_on(transactions):
+    with pytest.raises(ValueError, match="amount"):
+        fe.FittedStatistics.fit(transactions.filter("false"))
+
+
 def test_statistics_are_fitted_once(spark, transactions, tmp_path):
     path = str(tmp_path / "stats")
     with pytest.raises(FileNotFoundError):

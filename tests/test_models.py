@@ -98,6 +98,19 @@ def test_contributions_match_subset_sums(prepared, boosted):
         assert np.allclose(r["contributions"], brute_shapley(leaves, r["values"]), atol=1e-10)
 
 
+def test_long_paths_give_the_same_contributions(prepared):
+    """Paths too long for a pattern table go through the direct way."""
+    deep = learners.fit(prepared, learners.BOOSTED, {**PARAMS, "n_estimators": 2, "max_depth": 8})
+    leaves = bt.leaves_of(deep)
+    assert max(len(leaf.features) for leaf in leaves) > bt.TABLE_FEATURES
+    rows = bt.contributions(deep, learners.predicted(deep, prepared), "probability_fraud").limit(200).collect()
+    for r in rows:
+        p = r["probability_fraud"]
+        assert r["log_odds"] == pytest.approx(math.log(p / (1 - p)), abs=1e-9)
+    for r in rows[:5]:
+        assert np.allclose(r["contributions"], brute_shapley(leaves, r["values"]), atol=1e-10)
+
+
 def test_margins_end_at_the_log_odds(prepared, boosted):
     test = learners.predicted(boosted, prepared.filter("split = 'test'"))
     rows = bt.margins_per_iteration(boosted, test, "probability_fraud").collect()
