@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import quality, toxicity
+from riskweave.llm import privacy, quality, secrets, toxicity
 from riskweave.llm.tables import fold, table
 
 QUERIES = {}
@@ -28,11 +28,21 @@ def held_out_scores(spark: SparkSession, sf_dir: str, learner, label: str, folds
     )
 
 
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_scores(spark, sf_dir, toxicity, "toxic", folds=5, held_out=0)
 
 
+@query
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_scores(spark, sf_dir, quality, "quality", folds=3, held_out=1)
