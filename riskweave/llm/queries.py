@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import privacy, quality, secrets, toxicity
+from riskweave.llm import packing, privacy, quality, secrets, toxicity
 from riskweave.llm.tables import fold, table
 
 QUERIES = {}
@@ -38,6 +39,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_scores(spark, sf_dir, toxicity, "toxic", folds=5, held_out=0)
 
 
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
 @query
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.scan(table(spark, sf_dir, "documents"))
