@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import bit_sliced, neural_partitions, packing, privacy, quality, secrets, toxicity
+from riskweave.llm import bit_sliced, neural_partitions, packing, privacy, quality, secrets, sentence_pieces, toxicity
 from riskweave.llm.tables import fold, table
 
 QUERIES = {}
@@ -29,6 +29,16 @@ def held_out_scores(spark: SparkSession, sf_dir: str, learner, label: str, folds
     )
 
 
+@query
+def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether they decode to the text again."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    coded = sentence_pieces.decode(sentence_pieces.encode(docs, model), model)
+    same = F.col("decoded") == F.regexp_replace("text", sentence_pieces.MARK, " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", same.alias("round_trip"))
+
+
 @query
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
