@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import bit_sliced, neural_partitions, packing, privacy, quality, secrets, sentence_pieces, toxicity
+from riskweave.llm import bit_sliced, neural_partitions, ngram_join, packing, privacy, quality, secrets, sentence_pieces, toxicity
 from riskweave.llm.tables import fold, table
 
 QUERIES = {}
@@ -29,6 +29,11 @@ def held_out_scores(spark: SparkSession, sf_dir: str, learner, label: str, folds
     )
 
 
+@query
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_join(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether they decode to the text again."""
