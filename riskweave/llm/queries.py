@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import bit_sliced, neural_partitions, ngram_join, packing, privacy, quality, secrets, sentence_pieces, toxicity
+from riskweave.llm import bit_sliced, context_mixing, neural_partitions, ngram_join, packing, privacy, quality, secrets, sentence_pieces, toxicity
 from riskweave.llm.tables import fold, table
 
 QUERIES = {}
@@ -49,6 +49,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(table(spark, sf_dir, "documents"), folds=5, held_out=1)
+
+
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_scores(spark, sf_dir, toxicity, "toxic", folds=5, held_out=0)
