@@ -263,9 +263,18 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
     def work(rows: dict, same: bool) -> tuple[np.ndarray, np.ndarray]:
         ids = rows["id"]
         sigs = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, VALUES)
-        root = spanning(len(ids), *likely_pairs(sigs, *pairs_within(rows["side"], same), fewest))
-        moved = np.flatnonzero(root != np.arange(len(ids)))
-        return ids[moved], ids[root[moved]]
+        side, n = rows["side"], len(ids)
+        first, second = likely_pairs(sigs, *pairs_within(side, same), fewest)
+        own = np.arange(n)
+        if not same:
+            # what a chunk connects by itself comes from its own task: here only edges between such parts are new
+            halves = [np.flatnonzero(side == s) for s in (0, 1)]
+            inner = [likely_pairs(sigs, *(h[x] for x in np.triu_indices(len(h), 1)), fewest) for h in halves]
+            own = spanning(n, *(np.concatenate(x) for x in zip(*inner, strict=True)))
+        root = spanning(n, np.concatenate([first, np.arange(n)]), np.concatenate([second, own]))
+        at = np.unique(own)
+        at = at[root[at] != at]
+        return ids[at], ids[root[at]]
 
     return by_chunk_pair(in_chunk_pairs(members, "band", "chunks"), "band", ["id", "side", "sig"], work, "a long, b long")
 
