@@ -1,7 +1,9 @@
-"""All corpus queries, and the pipeline if its script is there to be imported."""
+"""All corpus queries and the pipeline."""
 
 from __future__ import annotations
 
-from riskweave.llm.queries import EXPECTED_SQL, QUERIES
+import corpus_pipeline
+from riskweave.llm import queries
 
-__all__ = ["EXPECTED_SQL", "QUERIES"]
+QUERIES = {**queries.QUERIES, "pipeline": corpus_pipeline.run}
+EXPECTED_SQL = {**queries.EXPECTED_SQL, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
