@@ -26,13 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from sentencepiece import SentencePieceProcessor
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*")
-WORDS = 600_000  # words remembered from batch to batch
+PART_BYTES = 4_000_000  # text or ids that are held as Python objects at a time
+WORDS = 400_000  # words remembered from batch to batch
 PAIRS = 500_000  # remembered answers to whether a piece may follow another
 
 
@@ -155,13 +157,27 @@ def decode_ids(pieces: Pieces, ids: list[int]) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
+def parts(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose values in column ``at`` have about ``PART_BYTES`` bytes or ids."""
+    column = batch.column(at)
+    sizes = pc.list_value_length(column) if pa.types.is_list(column.type) else pc.binary_length(column)
+    begin, held = 0, 0
+    for i, size in enumerate(sizes.to_pylist()):
+        held += size or 0
+        if held >= PART_BYTES:
+            yield batch.slice(begin, i + 1 - begin)
+            begin, held = i + 1, 0
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 def encode(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids", rule: str = "merges") -> DataFrame:
     """Every row with the ids of its text in a new column ``out``."""
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model_path, rule)
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, at)):
             coded = encode_batch(pieces, batch.column(at).to_pylist())
             ends = np.cumsum([0] + [len(c) // 4 for c in coded], dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<i4")))
@@ -176,8 +192,8 @@ def decode(coded: DataFrame, model_path: str, ids: str = "ids", out: str = "deco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model_path)
-        for batch in batches:
-            texts = [decode_ids(pieces, row or []) for row in batch.column(at).to_pylist()]
+        for batch in (p for b in batches for p in parts(b, at)):
+            texts = [decode_ids(pieces, row.as_py() or []) for row in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
     return coded.mapInArrow(run, T.StructType([*coded.schema.fields, T.StructField(out, T.StringType())]))
