@@ -94,6 +94,12 @@ def sparse_rows(docs: DataFrame, text: str, keep: list[str], make: Callable[[],
     return docs.select(*keep, docs[text].alias("text")).mapInArrow(run, schema)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], key: str) -> pa.Table:
+    """A bounded sample as one table in the order of its keys; without rows and columns if there are no batches."""
+    parts = list(batches)
+    return pa.Table.from_batches(parts).sort_by(key) if parts else pa.table({})
+
+
 def scored_rows(docs: DataFrame, text: str, out: str, make: Callable[[], Hasher], model: dict) -> DataFrame:
     """Every row of ``docs`` with the logistic score of its text in a new column ``out``.
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.llm.features import gathered
 from riskweave.llm.vectors import best_of_pairs, matrix, packed, slots_for, usable
 from riskweave.sources.scratch import staged
 
@@ -135,7 +136,7 @@ def fitted(rows: DataFrame) -> dict | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
-        table = pa.Table.from_batches(batches).combine_chunks().sort_by("id")
+        table = gathered(batches, "id")
         if table.num_rows:
             column = table.column("vector").combine_chunks()
             sizes = column.value_lengths().to_numpy()

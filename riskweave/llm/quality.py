@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.features import PAIR, Hasher, scored_rows, sparse_rows
+from riskweave.llm.features import PAIR, Hasher, gathered, scored_rows, sparse_rows
 from riskweave.llm.tables import labelled_sample
 from riskweave.sources.scratch import staged
 
@@ -89,7 +89,7 @@ def train(
     vectors = staged(sparse_rows(chosen, text, [key, "label"], WordPairs), "quality-sample")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(batches).sort_by(key)
+        rows = gathered(batches, key)
         if rows.num_rows:
             pairs = list(zip(rows["index"].to_numpy(), rows["value"].to_numpy(), strict=True))
             weights, bias = follow_the_regularised_leader(pairs, rows["label"].to_numpy(), BITS)

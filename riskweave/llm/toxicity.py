@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.features import Hasher, crc, scored_rows, slots, sparse_rows
+from riskweave.llm.features import Hasher, crc, gathered, scored_rows, slots, sparse_rows
 from riskweave.llm.tables import fold, labelled_sample
 from riskweave.sources.scratch import staged
 
@@ -142,7 +142,7 @@ def train(
     vectors = staged(sparse_rows(chosen, text, [key, "label"], Words), "toxicity-sample")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(batches).sort_by(key)
+        rows = gathered(batches, key)
         known = rows["label"].to_numpy() == 1 if rows.num_rows else np.empty(0, bool)
         if known.any() and not known.all():
             pairs = list(zip(rows["index"].to_numpy(), rows["value"].to_numpy(), strict=True))
