@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def without_nan(frame: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """NaN becomes NULL in all (or the named) floating-point columns: both mean a missing value.
+
+    Spark orders NaN above every number, so left alone it would pass every lower bound.
+    """
+    real = [
+        f.name
+        for f in frame.schema.fields
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and (columns is None or f.name in columns)
+    ]
+    return frame.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in real}) if real else frame
+
+
+def refuse_infinite(values: Mapping[str, float | None], what: str) -> None:
+    """Raise if a bound of a column is infinite, where ``what`` has no defined result."""
+    bad = sorted(c for c, v in values.items() if v is not None and v in (float("inf"), float("-inf")))
+    if bad:
+        raise ValueError(f"{what}: infinite values in {bad}")
 
 
 def flag(condition: Column) -> Column:

@@ -16,12 +16,23 @@ from riskweave.operators.running import ROWS_PER_RANGE, running_totals
 from riskweave.sources.scratch import staged
 
 
+def complete(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """The same rows; reading a NULL label, or a NULL or NaN score, raises: a metric over the rest would mislead.
+
+    The check is part of the row expression, so it costs no pass of its own.
+    """
+    s = F.col(score).cast("double")
+    missing = s.isNull() | F.isnan(s) | F.col(label).isNull()
+    fault = F.raise_error(F.lit(f"missing value in {score!r} or {label!r}")).cast("double")
+    return scored.withColumn(score, F.when(missing, fault).otherwise(s))
+
+
 def score_counts(
     scored: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "score"
 ) -> DataFrame:
-    """Positives and negatives per distinct score; rows without score or label are left out."""
+    """Positives and negatives per distinct score; a missing score or label is refused by ``complete``."""
     s = F.col(score).cast("double")
-    usable = scored.filter(s.isNotNull() & ~F.isnan(s) & F.col(label).isNotNull())
+    usable = complete(scored, label, score)
     return usable.groupBy(*by, s.alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("n_pos"), F.count_if(F.col(label) == 0).alias("n_neg")
     )

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.functions.expressions import banded, stacked
+from riskweave.functions.expressions import banded, lookup, stacked
 
 RUN = ["run_id", "model"]
 ONE = [*RUN, "candidate_id"]
@@ -219,23 +219,20 @@ def _gap_pct() -> Column:
     return F.when(F.col("mean_train") > 0, gap / F.col("mean_train")).otherwise(F.lit(0.0))
 
 
-# --- fixed values: advice by model family and severity --------------------------------
-ADVICE = {
-    ("random_forest", "severe"): "lower max_depth, raise min_samples_leaf and min_samples_split, or use boosted trees",
-    ("random_forest", "moderate"): "lower max_depth a little, raise min_samples_leaf if possible",
-    ("boosted_trees", "severe"): "raise reg_alpha or reg_lambda, lower learning_rate with more trees, lower max_depth, "
-    "raise min_child_weight, stop early with more patience",
-    ("boosted_trees", "moderate"): "raise regularisation a little and watch the validation loss",
-    ("other", "any"): "reduce model complexity or raise regularisation",
-}
+# What limits the capacity of each family's learner here; any other family is named only in general.
+CAPACITY = {"random_forest": "tree depth and leaf size", "boosted_trees": "tree depth, step size and number of rounds"}
 
 
-def _advice(severity: Column) -> Column:
-    text = F.when(severity == "good", F.lit("generalises well, no change needed"))
-    for (family, level), words in ADVICE.items():
-        if family != "other":
-            text = text.when((F.col("model") == family) & (severity == level), F.lit(words))
-    return text.otherwise(F.lit(ADVICE[("other", "any")]))
+def _advice(severity: Column, gap_pct: Column) -> Column:
+    """Model, gap in percent of the train score, and what to limit."""
+    knobs = F.coalesce(lookup(CAPACITY, F.col("model")), F.lit("model capacity"))
+    action = (
+        F.when(severity == "good", F.lit("keep the settings"))
+        .when(severity == "moderate", F.concat(F.lit("try tighter limits on "), knobs))
+        .otherwise(F.concat(F.lit("set tighter limits on "), knobs, F.lit(" and compare with a simpler model")))
+    )
+    gap = F.format_string("%.1f", F.round(gap_pct * 100, 1))
+    return F.concat(F.col("model"), F.lit(": validation falls short of training by "), gap, F.lit(" % ("), severity, F.lit("), "), action)
 
 
 def best_gap(table: DataFrame, moderate: float = 0.05, severe: float = 0.10) -> DataFrame:
@@ -253,7 +250,7 @@ def best_gap(table: DataFrame, moderate: float = 0.05, severe: float = 0.10) ->
         {
             "diagnosis": level,
             "overfitting_detected": (level != "good").cast("int"),
-            "recommendation": _advice(level),
+            "recommendation": _advice(level, F.col("gap_pct")),
         }
     )
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.functions import fixed_values as fv
-from riskweave.functions.expressions import flag, ratio_if_positive, ratio_zero_as_one
+from riskweave.functions.expressions import flag, ratio_if_positive, ratio_zero_as_one, without_nan
 from riskweave.functions.temporal import local_wall_time, require_utc_wall_time, time_part_columns
 from riskweave.operators.quantiles import exact_percentiles, percentile_values
 from riskweave.sources.files import require_path
@@ -111,7 +111,7 @@ def with_amount_features(frame: DataFrame, large_from: float | Column, variant:
             "amount_deviation": F.abs(amount - usual),
             "amount_vs_avg_ratio": ratio(amount, usual),
             "is_micro_transaction": flag(amount <= 5),
-            "is_large_transaction": flag(amount >= large_from),
+            "is_large_transaction": flag((amount >= large_from) & ~F.isnan(amount)),
         }
     )
 
@@ -135,7 +135,7 @@ def with_geographic_features(frame: DataFrame, far_from: float | Column, variant
         {
             # an unknown country on either side counts as a mismatch
             "country_mismatch": F.coalesce(F.col("country") != F.col("bin_country"), F.lit(True)).cast("int"),
-            "high_risk_distance": flag(far),
+            "high_risk_distance": flag(far & ~F.isnan(distance)),
             "zero_distance": flag(distance == 0),
         }
     )
@@ -209,8 +209,11 @@ def with_percentile_flags(frame: DataFrame, config: Sequence[Mapping]) -> DataFr
 
 
 def engineered(frame: DataFrame, stats: FittedStatistics, variant: str = PRODUCTION) -> DataFrame:
-    """All derived columns, in order: time, amount, behaviour, geography, security, combinations."""
-    out = with_local_time(frame, stats.time_column, stats.country_column, stats.zones)
+    """All derived columns, in order: time, amount, behaviour, geography, security, combinations.
+
+    NaN counts as missing, as NULL does: a flag on a missing value is 0.
+    """
+    out = with_local_time(without_nan(frame), stats.time_column, stats.country_column, stats.zones)
     out = with_time_parts(out, stats.time_column)
     out = with_time_parts(out, "local_time", "_local")
     out = with_amount_features(out, stats.amount_p95, variant)

@@ -60,6 +60,23 @@ def weighted(frame: DataFrame, family: str, params: Mapping | None = None) -> Da
     return class_weights(frame, LABEL, "balanced")
 
 
+MAX_BINS = 256  # candidate cuts of a numeric feature, for both tree learners
+DEEPEST = 30  # Spark's own limit; a forest without max_depth grows to it
+
+
+def forest_depth(wanted) -> int:
+    depth = DEEPEST if wanted is None else int(wanted)
+    if depth > DEEPEST:
+        raise ValueError(f"max_depth {depth} is above Spark's limit of {DEEPEST}")
+    return depth
+
+
+def ridge(frame: DataFrame, c: float = 1.0) -> float:
+    """Spark's ``regParam`` for an inverse penalty ``c``: the loss here is a weighted mean, there a weighted sum."""
+    total = frame.agg(F.sum(WEIGHT)).first()[0]
+    return 1.0 / (c * total) if total else 0.0
+
+
 def _feature_share(value) -> str:
     return value if isinstance(value, str) else str(float(value))
 
@@ -81,7 +98,8 @@ def learner(family: str, params: Mapping | None = None, seed: int = fv.DEFAULT_S
     if family == FOREST:
         classifier = RandomForestClassifier(
             numTrees=int(p["n_estimators"]),
-            maxDepth=int(p.get("max_depth", 10)),
+            maxDepth=forest_depth(p.get("max_depth")),
+            maxBins=int(p.get("max_bins", MAX_BINS)),
             minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
             featureSubsetStrategy=_feature_share(p.get("max_features", "sqrt")),
             seed=seed,
@@ -92,6 +110,7 @@ def learner(family: str, params: Mapping | None = None, seed: int = fv.DEFAULT_S
         classifier = GBTClassifier(
             maxIter=int(p["n_estimators"]),
             maxDepth=int(p["max_depth"]),
+            maxBins=int(p.get("max_bins", MAX_BINS)),
             stepSize=float(p["learning_rate"]),
             subsamplingRate=float(p.get("subsample", 1.0)),
             featureSubsetStrategy="all" if share >= 1.0 else str(share),
@@ -105,7 +124,11 @@ def learner(family: str, params: Mapping | None = None, seed: int = fv.DEFAULT_S
 def fit(frame: DataFrame, family: str, params: Mapping | None = None, seed: int = fv.DEFAULT_SEED) -> PipelineModel:
     if family == BOOSTED:
         use_checkpoints(frame.sparkSession)  # boosting cuts its lineage every few rounds
-    return learner(family, params, seed).fit(weighted(frame, family, params))
+    rows = weighted(frame, family, params)
+    p = dict(params or {})
+    if family == LINEAR and "reg_param" not in p:
+        p["reg_param"] = ridge(rows, float(p.get("C", 1.0)))
+    return learner(family, p, seed).fit(rows)
 
 
 def predicted(model: PipelineModel, frame: DataFrame, probability: str = "probability_fraud") -> DataFrame:

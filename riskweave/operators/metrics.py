@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions import fixed_values as fv
 from riskweave.functions.expressions import banded, ratio_if_positive, stacked
-from riskweave.operators.curves import ranking_aggregates, score_counts, threshold_curve
+from riskweave.operators.curves import complete, ranking_aggregates, score_counts, threshold_curve
 
 
 def confusion(
@@ -19,7 +19,8 @@ def confusion(
     label: str = "label",
     score: str = "score",
 ) -> DataFrame:
-    """TP, FP, TN, FN of ``score >= threshold``."""
+    """TP, FP, TN, FN of ``score >= threshold``; missing scores and labels raise."""
+    scored = complete(scored, label, score)
     hit, real = F.col(score) >= F.lit(threshold), F.col(label) == 1
     return scored.groupBy(*by).agg(
         F.count_if(hit & real).alias("tp"),

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.functions.expressions import banded, literal_map, stacked
+from riskweave.functions.expressions import banded, literal_map, refuse_infinite, stacked, without_nan
 from riskweave.operators.quantiles import exact_percentiles
 
 
@@ -128,7 +128,8 @@ def category_rates(
 
 
 def describe(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, sample std, min, quartiles and max of each column."""
+    """Count, mean, sample std, min, quartiles and max of each column; NaN counts as missing in all of them."""
+    frame = without_nan(frame, columns)
     quartiles = {(t.column, t.share): t.low for t in exact_percentiles(frame, columns, [0.25, 0.5, 0.75])}
     moments = frame.agg(
         *[
@@ -154,7 +155,8 @@ def describe(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def label_correlations(frame: DataFrame, columns: Sequence[str], label: str = "is_fraud") -> DataFrame:
-    """Pearson correlation with the label, strongest first; a constant column gives NULL."""
+    """Pearson correlation with the label, strongest first; a constant column gives NULL, NaN is missing."""
+    frame = without_nan(frame, [*columns, label])
     aggregates, rows = [], []
     for c in columns:
         y = F.col(label).cast("double")
@@ -176,7 +178,8 @@ def label_correlations(frame: DataFrame, columns: Sequence[str], label: str = "i
 
 
 def gram_matrix(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Sums of products of every pair of columns, from one pass: (feature_a, feature_b, value)."""
+    """Sums of products of every pair of columns, from one pass: (feature_a, feature_b, value); NaN is missing."""
+    frame = without_nan(frame, columns)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     sums = frame.agg(
         *[
@@ -197,7 +200,8 @@ def inflation_factors(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
     gram = np.zeros((len(columns), len(columns)))
     for row in gram_matrix(frame, columns).collect():
         i, j = size[row["feature_a"]], size[row["feature_b"]]
-        gram[i, j] = gram[j, i] = row["value"]
+        gram[i, j] = gram[j, i] = row["value"] or 0.0
+    refuse_infinite(dict(zip(columns, np.diag(gram).tolist())), "inflation factors")
     scale = np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1.0))
     scaled = gram / np.outer(scale, scale)
     values: list[float | None] = [None] * len(columns)
@@ -217,12 +221,18 @@ def inflation_bands(factors: DataFrame, moderate: float = 5.0, high: float = 10.
 
 
 def histogram(frame: DataFrame, columns: Sequence[str], bins: int = 50) -> DataFrame:
-    """Equal-width bins per column with the column's mean and median; empty bins are left out."""
+    """Equal-width bins per column with the column's mean and median; empty bins are left out.
+
+    NaN is missing; a column without values gives one row with n = 0 and nothing else; infinite values raise.
+    """
+    frame = without_nan(frame, columns)
     ends = frame.agg(
         *[F.min(c).cast("double").alias(f"lo_{c}") for c in columns],
         *[F.max(c).cast("double").alias(f"hi_{c}") for c in columns],
         *[F.avg(c).alias(f"mean_{c}") for c in columns],
     ).first()
+    refuse_infinite({c: ends[f"lo_{c}"] for c in columns}, "histogram")
+    refuse_infinite({c: ends[f"hi_{c}"] for c in columns}, "histogram")
     medians = {t.column: t.low for t in exact_percentiles(frame, columns, [0.5])}
     edges: dict[str, tuple[float, float]] = {}
     cells = []
@@ -242,9 +252,15 @@ def histogram(frame: DataFrame, columns: Sequence[str], bins: int = 50) -> DataF
         .groupBy(F.col("cell.feature").alias("feature"), F.col("cell.bin").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    nothing = frame.sparkSession.createDataFrame(
+        [(c,) for c in columns if c not in edges], "feature string"
+    ).selectExpr("feature", "CAST(NULL AS INT) AS bin", "CAST(NULL AS DOUBLE) AS bin_start", "0L AS n",
+                 "CAST(NULL AS DOUBLE) AS mean", "CAST(NULL AS DOUBLE) AS median")
+    if not edges:
+        return nothing
     low = F.element_at(literal_map({c: e[0] for c, e in edges.items()}), F.col("feature"))
     width = F.element_at(literal_map({c: e[1] for c, e in edges.items()}), F.col("feature"))
-    return counted.select(
+    binned = counted.select(
         "feature",
         "bin",
         (low + width * F.col("bin")).alias("bin_start"),
@@ -252,6 +268,7 @@ def histogram(frame: DataFrame, columns: Sequence[str], bins: int = 50) -> DataF
         F.element_at(literal_map({c: ends[f"mean_{c}"] for c in edges}), F.col("feature")).alias("mean"),
         F.element_at(literal_map({c: medians[c] for c in edges}), F.col("feature")).alias("median"),
     )
+    return binned if len(edges) == len(columns) else binned.unionByName(nothing)
 
 
 def box_statistics(frame: DataFrame, columns: Sequence[str], label: str = "is_fraud") -> DataFrame:
@@ -260,7 +277,10 @@ def box_statistics(frame: DataFrame, columns: Sequence[str], label: str = "is_fr
     The quartiles are a handful of numbers (columns x classes), so the second pass uses
     them as constants and groups by class only.
     """
+    frame = without_nan(frame, columns)
     found = exact_percentiles(frame, columns, [0.25, 0.5, 0.75], by=label)
+    if any(t.group is None for t in found):
+        raise ValueError(f"label {label!r} is NULL in some rows")
     q = {(t.column, t.group, t.share): t.low for t in found}
     classes = sorted({t.group for t in found})
 

@@ -40,8 +40,11 @@ def _prefix_counts(hashed: DataFrame, depth: int) -> list:
 
 
 def class_sizes(counts: list) -> dict[str, int]:
+    """Rows of each class; a NULL label belongs to no class and is refused."""
     sizes: dict[str, int] = {}
     for row in counts:
+        if row["c"] is None:
+            raise ValueError("the label is NULL in some rows: drop or fill them before splitting")
         sizes[row["c"]] = sizes.get(row["c"], 0) + row["n"]
     return sizes
 

@@ -21,8 +21,8 @@ NON_NEGATIVE = [
     "shipping_distance_km",
 ]
 TWO_LETTER = ["country", "bin_country"]
-CHANNEL_PATTERN = "^(web|app)$"
-TIME_PATTERN = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
+CHANNEL_PATTERN = r"\A(web|app)\z"
+TIME_PATTERN = r"\A\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\z"
 
 
 def with_utc_time(frame: DataFrame, column: str = "transaction_time") -> DataFrame:
@@ -42,6 +42,7 @@ def rule_violations(columns: Sequence[str] = tuple(fv.REQUEST_COLUMNS)) -> Colum
         broken(col.isNull(), f"{c}:required")
         if c in NON_NEGATIVE:
             broken(col < 0, f"{c}:negative")
+            broken(F.isnan(col.cast("double")), f"{c}:not_a_number")
         if c in fv.RAW_FLAGS:
             broken(~col.isin(0, 1), f"{c}:not_flag")
         if c in TWO_LETTER:
