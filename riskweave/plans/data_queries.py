@@ -404,14 +404,14 @@ def p11(spark, sf):
         TEMPORAL
         + """SELECT bucket AS hour, round(rate, 6) AS rate, round(rate / b, 6) AS times_baseline
     FROM rates, (SELECT sum(is_fraud)::DOUBLE / count(*) AS b FROM tx)
-    WHERE dimension = 'hour' AND rate > b * 1.05::DOUBLE"""
+    WHERE dimension = 'hour' AND rate > b * 1.2::DOUBLE"""
     ),
 )
 def p11_risky(spark, sf):
     rates = staged(profiling.temporal_rates(warehouse.transactions(spark, sf)), "temporal-rates")
     hours = rates.filter("dimension = 'hour'")
     base = hours.agg(F.sum("positives") / F.sum("n")).first()[0]
-    return rounded(profiling.risky_hours(hours, base, factor=1.05))
+    return rounded(profiling.risky_hours(hours, base))
 
 
 @query(

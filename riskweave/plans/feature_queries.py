@@ -299,6 +299,9 @@ def f15(spark, sf):
     )
 
 
+NUMERIC = [c for c in fv.MODEL_COLUMNS if c not in fv.CATEGORICAL_FEATURES]
+
+
 @query(
     "x13_display_names",
     tx(
@@ -306,16 +309,15 @@ def f15(spark, sf):
         + "SELECT feature, label, round(avg(v), 6) AS mean_value FROM ("
         + " UNION ALL ".join(
             f"SELECT '{c}' AS feature, '{fv.FEATURE_LABELS.get(c, c)}' AS label, CAST({c} AS DOUBLE) AS v FROM featured"
-            for c in ["amount", "hour_local", "security_score", "verification_failures"]
+            for c in NUMERIC
         )
         + ") GROUP BY feature, label"
     ),
 )
 def x13(spark, sf):
     frame = base(spark, sf)
-    columns = ["amount", "hour_local", "security_score", "verification_failures"]
     values = fe.engineered(frame, fe.FittedStatistics.fit(frame)).select(
-        *[F.col(c).cast("double").alias(c) for c in columns]
+        *[F.col(c).cast("double").alias(c) for c in NUMERIC]
     )
-    long = values.unpivot([], columns, "feature", "value").groupBy("feature").agg(F.avg("value").alias("mean_value"))
+    long = values.unpivot([], NUMERIC, "feature", "value").groupBy("feature").agg(F.avg("value").alias("mean_value"))
     return rounded(long.withColumn("label", display_name(F.col("feature"))))

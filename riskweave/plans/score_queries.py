@@ -134,11 +134,11 @@ def t8(spark, sf):
     tx(
         CURVE
         + """SELECT threshold, precision, recall, f1s AS f1 FROM pts
-    WHERE position % greatest(1, n_points // 100) = 0"""
+    WHERE position % greatest(1, n_points // 1000) = 0"""
     ),
 )
 def t9(spark, sf):
-    return curves.sampled_sweep(curve(spark, sf), points=100)
+    return curves.sampled_sweep(curve(spark, sf))
 
 
 CUSTOM = {"catch_most": 0.95, "half": 0.5, "few": 0.25}
