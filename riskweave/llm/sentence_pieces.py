@@ -32,10 +32,11 @@ from pyspark.sql import types as T
 from sentencepiece import SentencePieceProcessor
 
 MARK = "▁"
-WORD = re.compile(f"{MARK}+[^{MARK}]*")
-PART_BYTES = 4_000_000  # text or ids that are held as Python objects at a time
-WORDS = 400_000  # words remembered from batch to batch
-PAIRS = 500_000  # remembered answers to whether a piece may follow another
+WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n+")
+PART_BYTES = 2_000_000  # text or ids that are held as Python objects at a time
+WORDS = 300_000  # words remembered from batch to batch
+MISSING = object()
+PAIRS = 250_000  # remembered answers to whether a piece may follow another
 
 
 class Pieces:
@@ -60,6 +61,9 @@ class Pieces:
         self.unknown_id, self.unknown_score = model.unk_id(), min(self.scores.values(), default=0.0) - 10
         self.rule, self.pairs, self.coded = rule, {}, {}
         self.prefixes = {p[:k] for p in self.scores for k in range(1, len(p) + 1)}
+        # marked words are cut at line ends as well, which is right as long as no piece holds one
+        if any("\n" in p for p in self.scores):
+            raise ValueError("a piece reaches over a line end")
 
     def codes(self, piece: str) -> list[int]:
         if piece in self.ids:
@@ -92,7 +96,8 @@ class Pieces:
 
     def segmented(self, words: list[str]) -> dict[str, bytes]:
         """Ids of each distinct word as little-endian bytes."""
-        scores, prefixes, by_sum = self.scores, self.prefixes, self.rule == "sums"
+        scores, by_sum = self.scores, self.rule == "sums"
+        known = {p: scores.get(p) for p in self.prefixes}  # pieces have a score, mere prefixes None
         # per position: the best sum up to it, where its last piece starts, and the starts that pieces run on from
         best, back, starts, before, out = [0.0], [0], [[]], "", {}
         for word in sorted(words):
@@ -103,10 +108,10 @@ class Pieces:
                 alive, top, origin = [], None, end - 1
                 for start in [*starts[end - 1], end - 1]:
                     part = word[start:end]
-                    if part not in prefixes:
+                    score = known.get(part, MISSING)
+                    if score is MISSING:
                         continue
                     alive.append(start)
-                    score = scores.get(part)
                     if score is None:
                         continue
                     if by_sum:
@@ -193,7 +198,9 @@ def decode(coded: DataFrame, model_path: str, ids: str = "ids", out: str = "deco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model_path)
         for batch in (p for b in batches for p in parts(b, at)):
-            texts = [decode_ids(pieces, row.as_py() or []) for row in batch.column(at)]
+            column = batch.column(at)
+            values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+            texts = [decode_ids(pieces, values[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
     return coded.mapInArrow(run, T.StructType([*coded.schema.fields, T.StructField(out, T.StringType())]))
