@@ -246,6 +246,36 @@ def test_terms_that_disclose_are_added(spark):
     assert "term:5:11" in got[0].spans and got[0].n_term == 1 and got[10].n_term == 0
 
 
+def test_terms_disclose_over_whole_documents_and_in_all_of_them(spark, odd, empty):
+    """An entity of one document, a short name and a code far from it, in this and in another document; brute force."""
+    far = "call please now " * 40
+    rows = [(1, f"Bo paid me@a.bc {far} bo and x7 again Zed"), (2, f"x7 {far}"), (3, f"+1 (202) 555-0136 Ann {far}"), (4, f"ann 202-5550136 +12025550136 {far}")]
+    rows += [(10 + i, f"{far} paid and again") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in privacy.scan(docs).collect()}
+    texts = dict(rows)
+    spans = {i: privacy.base_spans(t) for i, t in rows}
+    terms = {i: {m[0].lower() for m in re.finditer(r"[^\W_]+", t) if all(m.end() <= a or b <= m.start() for a, _, b in spans[i])} for i, t in rows}
+    held = {i: {privacy.entity_hash(k, texts[i][a:b]) for a, k, b in s} for i, s in spans.items()}
+    n, wanted = len(rows), set()
+    for c in set().union(*held.values()):
+        those = [i for i in held if c in held[i]]
+        for t in set().union(*(terms[i] for i in those)):
+            both, n_t = sum(t in terms[i] for i in those), sum(t in x for x in terms.values())
+            if both >= min(2, len(those)) and np.log(n * both / (len(those) * n_t)) >= 0.8 * np.log(n / len(those)) - 1e-12:
+                wanted.add(t)
+    assert {"bo", "x7", "zed", "ann"} <= wanted and not {"call", "paid"} & wanted
+    for i, t in rows:
+        add = [(m.start(), 4, m.end()) for m in re.finditer(r"[^\W_]+", t) if m[0].lower() in wanted and all(m.end() <= a or b <= m.start() for a, _, b in spans[i])]
+        every = spans_string(spans[i] + add, privacy.KINDS)
+        assert got[i].n_term == len(add) and (got[i].spans, got[i].elsewhere) == ((every, "") if spans[i] else ("", every))
+    clean = {r.doc_id: r.text for r in privacy.sanitise(docs).collect()}
+    assert clean[1] == f"<term> paid <email> {far} <term> and <term> again <term>" and clean[2] == f"<term> {far}" and clean[10] == rows[-1][1]
+    done = privacy.sanitise(odd)
+    assert done.columns == odd.columns and done.count() == odd.count() and privacy.sanitise(empty).count() == 0
+    assert not done.filter("text LIKE '%me@a.bc%' OR text LIKE '%555-0136%'").count()
+
+
 def test_span_operators_on_odd_rows(odd, empty):
     for scan in (secrets.scan, privacy.scan):
         rows = scan(odd).collect()
