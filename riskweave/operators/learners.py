@@ -25,6 +25,13 @@ BASELINE = {
     BOOSTED: {"n_estimators": 100, "max_depth": 5, "learning_rate": 0.1},
 }
 
+# --- fixed values: parameters that have no counterpart in Spark's learners -------
+RECORDED_ONLY = {
+    LINEAR: set(),
+    FOREST: {"min_samples_split", "class_weight"},
+    BOOSTED: {"gamma", "reg_alpha", "reg_lambda"},
+}
+
 # --- fixed values: accepted names of the families ---------------------------------
 FAMILY_NAMES = {
     "logistic_regression": LINEAR,

@@ -23,7 +23,6 @@ from riskweave.sources import artifacts, schemas, warehouse
 from riskweave.sources.scratch import scratch_path, staged
 from riskweave.streaming import online
 
-SMALL_BOOSTED = {"n_estimators": 10, "max_depth": 4, "learning_rate": 0.3, "subsample": 0.9, "scale_pos_weight": 8}
 JOBS: dict[tuple[str, str], training_job.Trained] = {}
 
 # ---- encodings ------------------------------------------------------------------------
@@ -129,28 +128,35 @@ def m6(spark, sf):
     return _held_out(spark, sf, learners.BOOSTED, fv.TUNED_BOOSTED)
 
 
-@query("m7_grid_search")
-def m7(spark, sf):
-    grid = {"n_estimators": [5, 10], "max_depth": [4], "min_samples_leaf": [10]}
+def _grid_search(spark, sf, family, grid):
     data = prepared(spark, sf).filter("split <> 'test'")
-    found = search.search(data, learners.FOREST, search.candidates_of(grid), "grid-1", folds=3)
+    found = search.search(data, family, search.candidates_of(grid), "grid-1")
     return experiments.candidates(found.log).select("candidate_id", "mean_test", "std_test", "mean_train", "rank")
 
 
+@query("m7_grid_search")
+def m7(spark, sf):
+    return _grid_search(spark, sf, learners.FOREST, fv.FOREST_GRID)
+
+
+@query("m7_boosted_grid_search")
+def m7_boosted(spark, sf):
+    return _grid_search(spark, sf, learners.BOOSTED, fv.BOOSTED_GRID)
+
+
 @query("m7_tree_count_search")
 def m7_counts(spark, sf):
     data = prepared(spark, sf).filter("split <> 'test'")
-    params = {k: v for k, v in SMALL_BOOSTED.items() if k != "n_estimators"}
-    found = search.tree_count_search(data, learners.BOOSTED, params, [2, 5, 10], "trees-1", folds=3, refit=None)
-    return experiments.iteration_curve(experiments.candidates(found.log), tuned=5)
+    params = {k: v for k, v in fv.TUNED_BOOSTED.items() if k != "n_estimators"}
+    found = search.tree_count_search(data, learners.BOOSTED, params, fv.BOOSTED_TREE_COUNTS, "trees-1", refit=None)
+    return experiments.iteration_curve(experiments.candidates(found.log), tuned=fv.TUNED_BOOSTED["n_estimators"])
 
 
 @query("m8_logged_search")
 def m8(spark, sf):
     data = prepared(spark, sf).filter("split <> 'test'")
-    grid = {"max_iter": [20], "reg_param": [0.0, 0.1]}
-    candidates = search.candidates_of(grid, "random", n_iter=2)
-    found = search.search(data, learners.LINEAR, candidates, "random-1", folds=3, refit=None)
+    candidates = search.candidates_of(fv.BOOSTED_GRID, "random")
+    found = search.search(data, learners.BOOSTED, candidates, "random-1", refit=None)
     path = scratch_path(spark, "candidate-log")
     artifacts.save_candidate_log(found.log, path)
     return artifacts.load_candidate_log(spark, path, "random-1").drop("params")
@@ -178,14 +184,14 @@ def m11(spark, sf):
 @query("m12_iteration_tracking")
 def m12(spark, sf):
     data = prepared(spark, sf).filter("split <> 'test'")
-    return search.iteration_tracking(data, SMALL_BOOSTED, rounds=10, folds=3)
+    return search.iteration_tracking(data, fv.TUNED_BOOSTED)
 
 
 @query("m12_degradation")
 def m12_degradation(spark, sf):
     data = prepared(spark, sf).filter("split <> 'test'")
-    tracking = staged(search.iteration_tracking(data, SMALL_BOOSTED, rounds=10, folds=3), "tracking")
-    return search.degradation(tracking, tuned=5)
+    tracking = staged(search.iteration_tracking(data, fv.TUNED_BOOSTED), "tracking")
+    return search.degradation(tracking, tuned=fv.TUNED_BOOSTED["n_estimators"])
 
 
 # ---- explanation of a fitted model ----------------------------------------------------------

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from riskweave.functions import fixed_values as fv
 from riskweave.operators import boosted_trees as bt
 from riskweave.operators import encoders, experiments, importance, learners, metrics, scoring, search
-from riskweave.plans import data_queries, scoring_job, training_job
+from riskweave.plans import data_queries, model_queries, scoring_job, training_job
 from riskweave.sources import artifacts, schemas
 from riskweave.streaming import online
 
@@ -267,3 +267,53 @@ def test_saved_model_scores_raw_rows(spark, transactions, tmp_path):
 def test_request_schema_has_text_time():
     schema = schemas.request_schema()
     assert schema["transaction_time"].dataType == T.StringType() and "is_fraud" not in schema.fieldNames()
+
+
+def test_candidates_share_fits_by_acting_parameters():
+    groups = search._shared_fits("boosted_trees", search.candidates_of(fv.BOOSTED_GRID))
+    assert sorted(len(g) for g in groups) == [24, 24]  # one for each depth
+    assert len(search._shared_fits("random_forest", search.candidates_of(fv.FOREST_GRID))) == 12
+
+
+def test_shared_and_blocked_scores_equal_separate_ones(prepared, monkeypatch):
+    data = prepared.filter("split <> 'test'")
+    whole = {r["iteration"]: r for r in search.iteration_tracking(data, PARAMS, rounds=3, folds=2).collect()}
+    monkeypatch.setattr(search, "ROUNDS_PER_JOB", 2)
+    for r in search.iteration_tracking(data, PARAMS, rounds=3, folds=2).collect():
+        assert tuple(r) == pytest.approx(tuple(whole[r["iteration"]]), abs=1e-9)
+    candidates = [{**PARAMS, "n_estimators": n, "gamma": g} for n in (1, 2, 3) for g in (0.6, 0.7)]
+    log = search.search(data, "xgb", candidates, "run", folds=2, refit=None).log.filter("metric = 'pr_auc' AND split = 'test'")
+    means = {r[0]: r[1] for r in log.groupBy("candidate_id").avg("value").collect()}
+    assert len(means) == 6 and all(abs(means[i] - whole[i // 2 + 1]["val_pr_auc_mean"]) < 1e-9 for i in means)
+
+
+def test_registered_searches_run_the_whole_grids(monkeypatch):
+    seen = {}
+
+    def record(kind):
+        def run(*args, **options):
+            seen[kind] = (args[1:], options)
+            raise InterruptedError
+
+        return run
+
+    monkeypatch.setattr(model_queries, "prepared", lambda spark, sf: spark)
+    for kind in ("search", "tree_count_search", "iteration_tracking"):
+        monkeypatch.setattr(search, kind, record(kind))
+
+    class Rows:
+        def filter(self, _):
+            return self
+
+    def asked(query, kind):
+        with pytest.raises(InterruptedError):
+            query(Rows(), "")
+        args, options = seen[kind]
+        assert not {"folds", "rounds"} & set(options)  # CV_FOLDS and 200 are the defaults
+        return args
+
+    assert asked(model_queries.m7, "search")[1] == search.candidates_of(fv.FOREST_GRID)
+    assert asked(model_queries.m7_boosted, "search")[1] == search.candidates_of(fv.BOOSTED_GRID)
+    assert len(asked(model_queries.m8, "search")[1]) == 10
+    assert asked(model_queries.m7_counts, "tree_count_search")[2] == fv.BOOSTED_TREE_COUNTS
+    assert asked(model_queries.m12, "iteration_tracking") == asked(model_queries.m12_degradation, "iteration_tracking") == (fv.TUNED_BOOSTED,)
