@@ -23,6 +23,7 @@ from riskweave.sources import artifacts, schemas, warehouse
 from riskweave.sources.scratch import scratch_path, staged
 from riskweave.streaming import online
 
+NUMERIC = fv.CONTINUOUS_FEATURES + fv.BINARY_FEATURES
 JOBS: dict[tuple[str, str], training_job.Trained] = {}
 
 # ---- encodings ------------------------------------------------------------------------
@@ -59,6 +60,30 @@ def m2(spark, sf):
     return rounded(out.select("transaction_id", *[c for c in out.columns if c.endswith("_z") or "_is_" in c]))
 
 
+DUMMIES = {"channel": "web"}  # categories but the first
+
+
+@query(
+    "m2_scaled_dummies_all",
+    tx(
+        featured_sql()
+        + ", s AS (SELECT "
+        + ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}" for c in NUMERIC)
+        + " FROM featured WHERE merchant_category <> 'travel') SELECT transaction_id, "
+        + ", ".join(f"round(({c} - m_{c}) / s_{c}, 6) AS {c}_z" for c in NUMERIC)
+        + "".join(f", CAST({c} = '{v}' AS INTEGER)::DOUBLE AS {c}_is_{v}" for c, v in DUMMIES.items())
+        + " FROM featured, s"
+    ),
+)
+def m2_all(spark, sf):
+    """All model columns, as the encoder takes them by default."""
+    frame = warehouse.transactions(spark, sf)
+    featured = engineered(frame, FittedStatistics.fit(frame))
+    out = ScaledDummies().fit(featured.filter("merchant_category <> 'travel'")).transform(featured)
+    made = [f"{c}_z" for c in NUMERIC] + [f"{c}_is_{v}" for c, v in DUMMIES.items()]
+    return rounded(out.select("transaction_id", *made))
+
+
 def _vector_report_sql(scaled: list[str], plain: list[str]) -> str:
     parts = []
     for i, c in enumerate(scaled):

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from riskweave.functions import fixed_values as fv
 from riskweave.operators import curves, importance, metrics, scoring, thresholds
+from riskweave.operators.features import FittedStatistics, engineered
 from riskweave.operators.request_log import latency_summary
+from riskweave.plans.feature_queries import featured_sql
 from riskweave.plans.registry import query, rounded, tx
 from riskweave.sources import warehouse
 from riskweave.sources.scratch import scratch_path
@@ -652,3 +654,59 @@ def p16(spark, sf):
     columns = ["amount", "account_age_days"]
     frame = warehouse.transactions(spark, sf).select("transaction_id", *columns).join(phi(spark, sf), "transaction_id")
     return rounded(importance.value_contribution_correlation(frame, columns, columns))
+
+
+# ---- the same over all model columns ---------------------------------------------------------
+
+
+def with_values(spark, sf):
+    """Contributions beside the engineered values of all model columns."""
+    frame = warehouse.transactions(spark, sf)
+    values = engineered(frame, FittedStatistics.fit(frame)).select("transaction_id", *fv.MODEL_COLUMNS)
+    return values.join(phi(spark, sf), "transaction_id")
+
+
+def _numeric_sql(c: str) -> str:
+    return f"CASE WHEN {c} = 'web' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" if c in fv.CATEGORICAL_FEATURES else f"CAST({c} AS DOUBLE)"
+
+
+@query(
+    "x11_distribution_sample_all",
+    tx(
+        featured_sql()
+        + PHI
+        + """, s AS (SELECT transaction_id FROM scored ORDER BY md5('1:' || transaction_id) LIMIT 1000),
+    strongest AS (SELECT feature_index FROM imp ORDER BY round(mean_abs, 9) DESC, feature LIMIT 20), v AS ("""
+        + " UNION ALL ".join(
+            f"SELECT transaction_id, {i} AS i, '{c}' AS feature, {_numeric_sql(c)} AS v FROM featured"
+            for i, c in enumerate(fv.MODEL_COLUMNS)
+        )
+        + """), e AS (SELECT i, min(v) AS lo, max(v) AS hi FROM v GROUP BY i)
+    SELECT v.transaction_id, feature, p.x AS contribution, round(CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE 0 END, 6) AS scaled_value
+    FROM v JOIN e ON v.i = e.i JOIN s ON v.transaction_id = s.transaction_id JOIN strongest ON v.i = strongest.feature_index
+    JOIN phi p ON v.transaction_id = p.transaction_id AND v.i = p.feature_index"""
+    ),
+)
+def x11_all(spark, sf):
+    columns = fv.MODEL_COLUMNS
+    return rounded(importance.distribution_sample(with_values(spark, sf), columns, columns))
+
+
+@query(
+    "p16_value_contribution_correlation_all",
+    tx(
+        featured_sql()
+        + PHI
+        + " UNION ALL ".join(
+            f"""SELECT '{c}' AS feature, CASE WHEN stddev_pop({c}) > 0 THEN round(corr({c}, x), 6) END AS correlation
+    FROM featured f JOIN phi ON f.transaction_id = phi.transaction_id AND feature_index = {i}"""
+            for i, c in enumerate(fv.MODEL_COLUMNS)
+            if c not in fv.CATEGORICAL_FEATURES
+        )
+    ),
+)
+def p16_all(spark, sf):
+    numeric = [c for c in fv.MODEL_COLUMNS if c not in fv.CATEGORICAL_FEATURES]
+    first = len(fv.MODEL_COLUMNS) - len(numeric)  # the categorical columns come first
+    frame = with_values(spark, sf).withColumn("contributions", F.slice("contributions", first + 1, len(numeric)))
+    return rounded(importance.value_contribution_correlation(frame, numeric, numeric))
