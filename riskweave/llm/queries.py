@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import bit_sliced, context_mixing, neural_partitions, ngram_join, packing, privacy, quality, secrets, sentence_pieces, toxicity
+from riskweave.llm import (
+    bit_sliced,
+    centroid_clustering,
+    context_mixing,
+    neural_partitions,
+    ngram_join,
+    packing,
+    privacy,
+    quality,
+    secrets,
+    sentence_pieces,
+    sharding,
+    spelling,
+    toxicity,
+)
 from riskweave.llm.tables import fold, table
 
 QUERIES = {}
@@ -99,3 +113,64 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_scores(spark, sf_dir, quality, "quality", folds=3, held_out=1)
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _clustering_sql(k: int = 16, rounds: int = 3, dim: int = 64, scale: int = 64, seed: int = 1) -> str:
+    """The same in SQL: each round finds the nearest of all centroids and moves them."""
+    nearest = """near{n} AS (
+  SELECT r.vec_id, r.row, min([list_sum(list_transform(list_zip(r.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c.cluster]) AS best
+  FROM kept r CROSS JOIN at{n} c GROUP BY r.vec_id, r.row
+)"""
+    steps = [
+        f"""WITH kept AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), at0 AS (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS cluster, v FROM (
+    SELECT sha256('{seed}:' || vec_id) AS h, v FROM kept ORDER BY h NULLS LAST, v LIMIT {k})
+)"""
+    ]
+    for n in range(rounds):
+        steps.append(nearest.format(n=n))
+        steps.append(f"""sums{n} AS (
+  SELECT cluster, i, CAST(floor(sum(x) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS x FROM (
+    SELECT b.best[2] AS cluster, unnest(range(1, {dim} + 1)) AS i, unnest(r.v) AS x FROM near{n} b JOIN kept r ON b.row = r.row)
+  GROUP BY cluster, i
+), at{n + 1} AS (
+  SELECT a.cluster, coalesce(m.v, a.v) AS v FROM at{n} a LEFT JOIN (
+    SELECT cluster, list(x ORDER BY i) AS v FROM sums{n} GROUP BY cluster) m ON a.cluster = m.cluster
+)""")
+    steps.append(nearest.format(n=rounds))
+    return ",\n".join(steps) + f"""
+SELECT vec_id, CAST(best[2] AS INTEGER) AS cluster, CAST(best[1] AS BIGINT) AS distance,
+       CAST(sum(best[1]) OVER (PARTITION BY best[2]) AS BIGINT) AS cluster_inertia, CAST(sum(best[1]) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM near{rounds} JOIN at{rounds} c ON best[2] = c.cluster
+"""
+
+
+EXPECTED_SQL["op12_centroid_clustering"] = _clustering_sql()
+
+
+@query
+def op13_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return sharding.shuffled(table(spark, sf_dir, "documents").select("doc_id", "text"), 16).select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
