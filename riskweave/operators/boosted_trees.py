@@ -1,26 +1,24 @@
-"""Views of a fitted boosted-tree model: leaves, per-row contributions, margins per iteration, gain.
+"""Explanations of a fitted boosted-tree model: per-row contributions, margins per iteration, gain.
 
 A leaf is described by its path: for every feature on it an interval the value must lie in
 and the share of training cover that takes the path.  The number of leaves depends on the
 model only (trees x 2^depth), so the leaf list travels to the tasks; rows stay where they are
-and are handled in Arrow batches.
+and are handled in Arrow batches.  Rows of a batch that answer all tests of a tree alike share
+its contributions, so a tree costs as many additions as it has different answers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskweave.functions import fixed_values as fv
+from riskweave.operators.tree_models import Trees, gain_by_feature, margins, matrix, node_table, vector_arrays, with_lists
 
 
 @dataclass
@@ -39,6 +37,7 @@ class Leaf:
 
 
 TABLE_FEATURES = 5  # paths up to this length get a table: at most 32 patterns
+WORD_TESTS = 62  # answers that one number holds
 
 
 def boosted_stage(model: PipelineModel | GBTClassificationModel) -> GBTClassificationModel:
@@ -50,30 +49,27 @@ def boosted_stage(model: PipelineModel | GBTClassificationModel) -> GBTClassific
     return found
 
 
-def leaves_of(model: PipelineModel | GBTClassificationModel) -> list[Leaf]:
+def leaves_of(model: PipelineModel | GBTClassificationModel, trees: Trees | None = None) -> list[Leaf]:
     """All leaves of the ensemble.  log-odds = 2 x sum of weighted tree outputs."""
-    gbt = boosted_stage(model)
+    trees = trees or Trees.of(boosted_stage(model))
     out: list[Leaf] = []
-    for t, (tree, weight) in enumerate(zip(gbt.trees, gbt.treeWeights)):
-        # (node, {feature: (low, high, cover share)})
-        stack = [(tree._call_java("rootNode"), {})]
+    for t, root in enumerate(trees.roots.tolist()):
+        stack = [(root, {})]  # (node, {feature: (low, high, cover share)})
         while stack:
             node, path = stack.pop()
-            if node.subtreeDepth() == 0:
+            if trees.leaf[node]:
                 names = sorted(path)
                 columns = [np.array([path[f][i] for f in names], dtype=float) for i in range(3)]
-                leaf = Leaf(t, 2.0 * weight * node.prediction(), np.array(names, dtype=int), *columns)
+                leaf = Leaf(t, float(trees.value[node]), np.array(names, dtype=int), *columns)
                 if 0 < len(names) <= TABLE_FEATURES:
                     leaf.table = _pattern_contributions(leaf, np.arange(1 << len(names)))
                 out.append(leaf)
                 continue
-            split = node.split()
-            feature, cut = split.featureIndex(), split.threshold()
-            whole = node.impurityStats().count()
-            for child, is_left in ((node.leftChild(), True), (node.rightChild(), False)):
+            feature, cut = int(trees.feature[node]), float(trees.threshold[node])
+            for child, is_left in ((int(trees.left[node]), True), (int(trees.right[node]), False)):
                 low, high, cover = path.get(feature, (-np.inf, np.inf, 1.0))
                 bounds = (low, min(high, cut)) if is_left else (max(low, cut), high)
-                share = child.impurityStats().count() / whole
+                share = trees.cover[child] / trees.cover[node]
                 stack.append((child, {**path, feature: (*bounds, cover * share)}))
     return out
 
@@ -110,99 +106,85 @@ def _pattern_contributions(leaf: Leaf, codes: np.ndarray) -> np.ndarray:
     return _leaf_contributions(leaf, (codes[:, None] >> leaf.bits) & 1)
 
 
-def batch_contributions(leaves: list[Leaf], values: np.ndarray) -> np.ndarray:
-    """Contribution of every feature for a batch of rows.
-
-    Rows that meet the same conditions of a path share their values.
-    """
-    total = np.zeros(values.shape)
-    for leaf in leaves:
-        if len(leaf.features) == 0:
-            continue
-        codes = _hits(leaf, values) @ (1 << leaf.bits)
-        if leaf.table is not None:
-            total[:, leaf.features] += leaf.table[codes]
-        else:
-            seen, which = np.unique(codes, return_inverse=True)
-            total[:, leaf.features] += _pattern_contributions(leaf, seen)[which]
-    return total
-
-
-def bias_of(leaves: list[Leaf]) -> float:
-    """Expected log-odds over the training cover."""
-    return float(sum(leaf.value * leaf.cover.prod() for leaf in leaves))
+@dataclass
+class TreeTests:
+    """What one tree asks of a row: the distinct (feature, limit) tests, and its leaves."""
 
+    features: np.ndarray
+    limits: np.ndarray
+    leaves: list[Leaf]
 
-def _vector_arrays(model: PipelineModel, frame: DataFrame, keep: list[str]) -> DataFrame:
-    encoded = PipelineModel(model.stages[:-1]).transform(frame)
-    return encoded.select(*keep, vector_to_array("features").alias("values"))
 
+def tests_by_tree(leaves: list[Leaf]) -> list[TreeTests]:
+    by_tree: dict[int, list[Leaf]] = {}
+    for leaf in leaves:
+        by_tree.setdefault(leaf.tree, []).append(leaf)
+    out = []
+    for group in by_tree.values():
+        asked = set()
+        for leaf in group:
+            for f, low, high in zip(leaf.features.tolist(), leaf.low.tolist(), leaf.high.tolist(), strict=True):
+                asked |= {(f, x) for x in (low, high) if np.isfinite(x)}
+        if asked:
+            pairs = sorted(asked)
+            out.append(TreeTests(np.array([f for f, _ in pairs]), np.array([x for _, x in pairs]), group))
+    return out
 
-def _with_field(frame: DataFrame, name: str) -> T.StructType:
-    return T.StructType([*frame.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
 
+def _answers(tests: TreeTests, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One row for each different way to answer a tree's tests, and which of them each row gives."""
+    small = values[:, tests.features] <= tests.limits
+    words = [small[:, s : s + WORD_TESTS] @ (1 << np.arange(min(WORD_TESTS, small.shape[1] - s))) for s in range(0, small.shape[1], WORD_TESTS)]
+    keys = words[0] if len(words) == 1 else np.unique(np.stack(words, axis=1), axis=0, return_inverse=True)[1].reshape(-1)
+    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    return first, which.reshape(-1)
 
-def _matrix(batch: pa.RecordBatch) -> np.ndarray:
-    """The ``values`` lists of a batch as a rows x features matrix."""
-    flat = batch.column("values").flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(batch.num_rows, -1)
 
+def batch_contributions(leaves: list[Leaf], values: np.ndarray, tests: list[TreeTests] | None = None) -> np.ndarray:
+    """Contribution of every feature for a batch of rows."""
+    total = np.zeros(values.shape)
+    for tree in tests_by_tree(leaves) if tests is None else tests:
+        first, which = _answers(tree, values)
+        some = values[first]  # rows that answer alike meet the same conditions of every path
+        part = np.zeros(some.shape)
+        for leaf in tree.leaves:
+            if len(leaf.features) == 0:
+                continue
+            codes = _hits(leaf, some) @ (1 << leaf.bits)
+            if leaf.table is not None:
+                part[:, leaf.features] += leaf.table[codes]
+            else:
+                seen, at = np.unique(codes, return_inverse=True)
+                part[:, leaf.features] += _pattern_contributions(leaf, seen)[at]
+        total += part[which]
+    return total
 
-def _appended(batch: pa.RecordBatch, name: str, matrix: np.ndarray) -> pa.RecordBatch:
-    width = matrix.shape[1]
-    offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * width
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.reshape(-1)))
-    return pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, name])
 
+def bias_of(leaves: list[Leaf]) -> float:
+    """Expected log-odds over the training cover."""
+    return float(sum(leaf.value * leaf.cover.prod() for leaf in leaves))
 
-def contributions(model: PipelineModel, frame: DataFrame, *keep: str) -> DataFrame:
-    """(keep..., values, contributions, bias, log_odds) per row; bias + sum = log-odds."""
-    leaves = leaves_of(model)
-    bias = bias_of(leaves)
-    rows = _vector_arrays(model, frame, list(keep))
 
-    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _appended(batch, "contributions", batch_contributions(leaves, _matrix(batch)))
+def contributions(model: PipelineModel, frame: DataFrame, *keep: str, leaves: list[Leaf] | None = None) -> DataFrame:
+    """(keep..., values, contributions, bias, log_odds) per row; bias + sum = log-odds.
 
-    explained = rows.mapInArrow(explain, _with_field(rows, "contributions"))
+    ``leaves`` can be given if they are at hand, as they do not depend on the rows.
+    """
+    leaves = leaves_of(model) if leaves is None else leaves
+    bias, tests = bias_of(leaves), tests_by_tree(leaves)
+    rows = vector_arrays(model, frame, list(keep))
+    explained = with_lists(rows, "contributions", lambda batch: batch_contributions(leaves, matrix(batch), tests))
     total = F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x)
     return explained.withColumns({"bias": F.lit(bias), "log_odds": F.lit(bias) + total})
 
 
 def margins_per_iteration(model: PipelineModel, frame: DataFrame, *keep: str) -> DataFrame:
     """(keep..., margins): log-odds after the first, second, ... tree, as an array."""
-    leaves = leaves_of(model)
-    n_trees = 1 + max(leaf.tree for leaf in leaves)
-    rows = _vector_arrays(model, frame, list(keep))
-
-    def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = _matrix(batch)
-            steps = np.zeros((batch.num_rows, n_trees))
-            for leaf in leaves:
-                steps[:, leaf.tree] += leaf.value * _hits(leaf, values).all(axis=1)
-            yield _appended(batch, "margins", steps.cumsum(axis=1))
-
-    return rows.mapInArrow(advance, _with_field(rows, "margins")).drop("values")
+    trees = Trees.of(boosted_stage(model))
+    rows = vector_arrays(model, frame, list(keep))
+    return with_lists(rows, "margins", lambda batch: margins(trees, matrix(batch), 0, len(trees.roots))).drop("values")
 
 
 def gain_importance(model: PipelineModel, features: list[str] | None = None) -> DataFrame:
-    """Mean gain per split of each feature, scaled to sum to one, highest first."""
-    from pyspark.sql import SparkSession
-
-    names = features or list(fv.MODEL_COLUMNS)
-    sums, counts = np.zeros(len(names)), np.zeros(len(names))
-    for tree in boosted_stage(model).trees:
-        stack = [tree._call_java("rootNode")]
-        while stack:
-            node = stack.pop()
-            if node.subtreeDepth() > 0:
-                index = node.split().featureIndex()
-                sums[index] += node.gain()
-                counts[index] += 1
-                stack += [node.leftChild(), node.rightChild()]
-    mean = np.divide(sums, counts, out=np.zeros_like(sums), where=counts > 0)
-    share = mean / mean.sum() if mean.sum() > 0 else mean
-    rows = sorted(zip(names, map(float, share)), key=lambda r: (-r[1], r[0]))
-    return SparkSession.active().createDataFrame(rows, "feature string, importance double")
+    """Mean gain per split of each feature, scaled to sum to one, highest first: an aggregation of the node table."""
+    return gain_by_feature(node_table(boosted_stage(model)), features or list(fv.MODEL_COLUMNS))

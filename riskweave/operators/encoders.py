@@ -17,12 +17,15 @@ from riskweave.functions import fixed_values as fv
 from riskweave.functions.expressions import lookup
 
 UNKNOWN_CODE = -1.0
+MAX_LABELS = 100_000  # values of a category that a model can hold; more are not a category
 
 
 def category_labels(frame: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Labels of each categorical column in alphabetical order."""
+    """Labels of each categorical column in alphabetical order; ValueError above ``MAX_LABELS``."""
     labels = {}
     for c in columns:
+        if frame.select(c).distinct().limit(MAX_LABELS + 2).count() > MAX_LABELS + 1:  # one may be null
+            raise ValueError(f"column {c!r} has more than {MAX_LABELS} values; a model cannot hold them as categories")
         indexer = StringIndexer(inputCol=c, outputCol="_i", stringOrderType="alphabetAsc", handleInvalid="keep")
         labels[c] = list(indexer.fit(frame.select(F.col(c).cast("string").alias(c))).labels)
     return labels

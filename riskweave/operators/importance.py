@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions import fixed_values as fv
 from riskweave.functions.expressions import lookup, sigmoid
+from riskweave.sources.scratch import staged
 
 CONTRIBUTOR_BOUNDS = (1, 10)
 
@@ -190,6 +191,24 @@ def major_disagreements(comparison: DataFrame, at_least: int = 5) -> DataFrame:
     return comparison.filter(F.abs("rank_diff") >= at_least)
 
 
+def ranked_values(frame: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """(value, code): the distinct values of a column with their places in order from 0 as doubles, and how many they are.
+
+    The values are sorted over ranges; only the number of values in each range reaches the driver.
+    """
+    values = frame.select(F.col(column).alias("value")).filter("value IS NOT NULL").distinct()
+    ordered = values.repartitionByRange("value").sortWithinPartitions("value")
+    numbered = staged(ordered.withColumn("id", F.monotonically_increasing_id()), "ranked")  # range and place in it
+    sizes = numbered.groupBy(F.shiftright("id", 33).alias("range")).agg(F.count(F.lit(1)).alias("n")).orderBy("range").collect()
+    starts, n = {}, 0
+    for r in sizes:
+        starts[r["range"]] = n
+        n += r["n"]
+    table = frame.sparkSession.createDataFrame(list(starts.items()), "range long, start long")
+    placed = numbered.withColumn("range", F.shiftright("id", 33)).join(F.broadcast(table), "range")  # a row a range
+    return placed.select("value", (F.col("start") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).cast("double").alias("code")), n
+
+
 def distribution_sample(
     frame: DataFrame,
     values: Sequence[str],
@@ -203,29 +222,32 @@ def distribution_sample(
 
     ``values`` are the columns with the features' values, aligned with the contributions.
     The sample is the ``rows`` smallest hashes of seed and key; text values become codes in
-    alphabetical order (categorical columns have few values).
+    alphabetical order, which are ranked where the values lie and joined to the sample only.
     """
     strongest = [r["feature"] for r in global_importance(frame, features).limit(top_features).collect()]
     text = [c for c in values if dict(frame.dtypes)[c] == "string"]
-    codes = {
-        c: {v: float(i) for i, v in enumerate(sorted(r[0] for r in frame.select(c).distinct().dropna().collect()))}
-        for c in text
-    }
-
-    def numeric(c: str) -> Column:
-        return lookup(codes[c], F.col(c), F.lit(None).cast("double")) if c in text else F.col(c).cast("double")
-
-    ends = frame.agg(
-        *[F.min(numeric(c)).alias(f"lo_{c}") for c in values], *[F.max(numeric(c)).alias(f"hi_{c}") for c in values]
-    ).first()
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
     sample = frame.orderBy(h, key).limit(rows)
+    numbers = [c for c in values if c not in text]
+    low, high = {c: 0.0 for c in text}, {}
+    for c in text:
+        codes, n = ranked_values(frame, c)
+        high[c] = float(n - 1) if n else None
+        sample = sample.join(codes.withColumnRenamed("value", c), c, "left").withColumnRenamed("code", f"code_{c}")
+    if numbers:
+        numeric = {c: F.col(c).cast("double") for c in numbers}
+        ends = frame.agg(
+            *[F.min(x).alias(f"lo_{c}") for c, x in numeric.items()], *[F.max(x).alias(f"hi_{c}") for c, x in numeric.items()]
+        ).first()
+        low |= {c: ends[f"lo_{c}"] for c in numbers}
+        high |= {c: ends[f"hi_{c}"] for c in numbers}
     cells = []
     for i, (c, f) in enumerate(zip(values, features)):
         if f not in strongest:
             continue
-        lo, hi = ends[f"lo_{c}"], ends[f"hi_{c}"]
-        scaled = (numeric(c) - F.lit(lo)) / F.lit(hi - lo) if lo is not None and hi > lo else F.lit(0.0)
+        lo, hi = low[c], high[c]
+        number = F.col(f"code_{c}") if c in text else F.col(c).cast("double")
+        scaled = (number - F.lit(lo)) / F.lit(hi - lo) if lo is not None and hi > lo else F.lit(0.0)
         cells.append(
             F.struct(
                 F.lit(f).alias("feature"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from riskweave.functions import fixed_values as fv
 from riskweave.operators.encoders import linear_encoding, tree_encoding
 from riskweave.operators.splits import class_weights
-from riskweave.sources.scratch import use_checkpoints
+from riskweave.sources.scratch import few_parts, use_checkpoints
 
 LABEL, WEIGHT = "is_fraud", "weight"
 LINEAR, FOREST, BOOSTED = "logistic_regression", "random_forest", "boosted_trees"
@@ -131,7 +131,7 @@ def learner(family: str, params: Mapping | None = None, seed: int = fv.DEFAULT_S
 def fit(frame: DataFrame, family: str, params: Mapping | None = None, seed: int = fv.DEFAULT_SEED) -> PipelineModel:
     if family == BOOSTED:
         use_checkpoints(frame.sparkSession)  # boosting cuts its lineage every few rounds
-    rows = weighted(frame, family, params)
+    rows = weighted(few_parts(frame, frame.count()), family, params)
     p = dict(params or {})
     if family == LINEAR and "reg_param" not in p:
         p["reg_param"] = ridge(rows, float(p.get("C", 1.0)))

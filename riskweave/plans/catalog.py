@@ -6,6 +6,7 @@ from riskweave.plans import (  # noqa: F401  (imports register the queries)
     data_queries,
     experiment_queries,
     feature_queries,
+    model_fact_queries,
     model_queries,
     score_queries,
 )

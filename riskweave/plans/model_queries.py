@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import json
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskweave.functions import fixed_values as fv
 from riskweave.operators import boosted_trees, experiments, importance, learners, profiling, scoring, search
-from riskweave.operators import thresholds as th
-from riskweave.operators.curves import curve_of
 from riskweave.operators.encoders import OrdinalCodes, ScaledDummies, linear_encoding
 from riskweave.operators.features import FittedStatistics, engineered
 from riskweave.operators.splits import train_val_test
@@ -18,13 +19,13 @@ from riskweave.plans import data_queries, scoring_job, training_job
 from riskweave.plans.experiment_queries import LOG
 from riskweave.plans.feature_queries import featured_sql
 from riskweave.plans.registry import query, rounded, tx
-from riskweave.plans.score_queries import STRATEGIES
 from riskweave.sources import artifacts, schemas, warehouse
-from riskweave.sources.scratch import scratch_path, staged
+from riskweave.sources.scratch import scratch_path, spread, staged
 from riskweave.streaming import online
 
 NUMERIC = fv.CONTINUOUS_FEATURES + fv.BINARY_FEATURES
 JOBS: dict[tuple[str, str], training_job.Trained] = {}
+STREAMS: dict[tuple[str, str], tuple[str, scoring_job.Deployed]] = {}
 
 # ---- encodings ------------------------------------------------------------------------
 
@@ -181,9 +182,8 @@ def m7_counts(spark, sf):
 def m8(spark, sf):
     data = prepared(spark, sf).filter("split <> 'test'")
     candidates = search.candidates_of(fv.BOOSTED_GRID, "random")
-    found = search.search(data, learners.BOOSTED, candidates, "random-1", refit=None)
     path = scratch_path(spark, "candidate-log")
-    artifacts.save_candidate_log(found.log, path)
+    search.search(data, learners.BOOSTED, candidates, "random-1", refit=None, log_path=path)
     return artifacts.load_candidate_log(spark, path, "random-1").drop("params")
 
 
@@ -201,6 +201,39 @@ def m10(spark, sf):
     return artifacts.summary_rows(spark, found)
 
 
+BEST_OF_LOG = (
+    LOG
+    + """SELECT name, value FROM (SELECT n_estimators, max_depth FROM c WHERE place = 1 AND model = 'random_forest'
+      AND run_id = (SELECT max(run_id) FROM c)), (SELECT unnest(['n_estimators', 'max_depth']) AS name) n,
+      LATERAL (SELECT CASE name WHEN 'n_estimators' THEN n_estimators ELSE max_depth END::DOUBLE AS value)"""
+)
+
+
+def _best_of_log(spark, sf):
+    path = scratch_path(spark, "candidate-log")
+    artifacts.save_candidate_log(warehouse.candidate_log(spark, sf), path)
+    return artifacts.load_hyperparameters(spark, "random_forest", log=path)
+
+
+@query("m10_hyperparameters_from_run_record", BEST_OF_LOG)
+def m10_run(spark, sf):
+    """Parameters of the newest run of the family; older runs and other families are not taken."""
+    path, best = scratch_path(spark, "runs"), _best_of_log(spark, sf)
+    scores = {m: 0.0 for m in fv.METRICS}
+    for run, family, params in (("a", "random_forest", {"n_estimators": 1}), ("b", "random_forest", best), ("c", "boosted_trees", {"n_estimators": 2})):
+        artifacts.append_training_run(artifacts.training_run(spark, run, family, params, {}, {}, 1.0, scores), path)
+    return artifacts.summary_rows(spark, artifacts.load_hyperparameters(spark, "rf", runs=path))
+
+
+@query("m10_hyperparameters_from_file", BEST_OF_LOG)
+def m10_file(spark, sf):
+    """Parameters from a stored JSON document."""
+    path, best = scratch_path(spark, "params"), _best_of_log(spark, sf)
+    document = json.dumps({"hyperparameters": {f"classifier__{k}": str(v) for k, v in best.items()}})
+    spark.createDataFrame([(document,)], "value string").coalesce(1).write.text(path)
+    return artifacts.summary_rows(spark, artifacts.load_hyperparameters(spark, "rf", file=path))
+
+
 @query("m11_training_job")
 def m11(spark, sf):
     return tuned_job(spark, sf).strategies
@@ -219,6 +252,57 @@ def m12_degradation(spark, sf):
     return search.degradation(tracking, tuned=fv.TUNED_BOOSTED["n_estimators"])
 
 
+LOGS: dict[tuple[str, str], DataFrame] = {}
+FAMILIES = {
+    learners.LINEAR: [learners.BASELINE[learners.LINEAR]],
+    learners.FOREST: [learners.BASELINE[learners.FOREST]],
+    learners.BOOSTED: [fv.TUNED_BOOSTED],
+}
+
+
+def _families_log(spark, sf):
+    """Three families on the same four folds, fitted once for a session and table."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in LOGS:
+        LOGS[key] = search.cross_validate(prepared(spark, sf).filter("split <> 'test'"), FAMILIES, "families-1")
+    return LOGS[key]
+
+
+@query("m13_family_gaps")
+def m13_families(spark, sf):
+    return experiments.gap_diagnosis(experiments.fold_gaps(_families_log(spark, sf)))
+
+
+@query(
+    "m13_family_gap_facts",
+    tx(
+        data_queries.RANKED
+        + """SELECT model, CAST(count(DISTINCT fold) AS BIGINT) AS n_folds, CAST(count(DISTINCT fold) AS BIGINT) AS n_gaps, 1 AS is_mean,
+      1 AS is_judged FROM (SELECT unnest(range(4)) AS fold, is_fraud FROM parts WHERE split <> 'test'),
+      (SELECT unnest(['boosted_trees', 'logistic_regression', 'random_forest']) AS model) GROUP BY model"""
+    ),
+)
+def m13_facts(spark, sf):
+    """Folds of each family, folds whose gap is train less validation, and whether the summary and its verdict follow from them."""
+    log = _families_log(spark, sf)
+    value = lambda s: F.max(F.when(F.col("split") == s, F.col("value")))
+    each = log.filter("metric = 'pr_auc'").groupBy("model", "fold").agg(value("train").alias("a"), value("test").alias("b"))
+    each = each.join(experiments.fold_gaps(log).select("model", "fold", "gap"), ["model", "fold"])
+    gap = F.col("a") - F.col("b")
+    mean = each.groupBy("model").agg(F.count(F.lit(1)).alias("n_folds"), F.count_if(F.abs(gap - F.col("gap")) < 1e-12).alias("n_gaps"), F.avg(gap).alias("m"))
+    told = experiments.gap_diagnosis(experiments.fold_gaps(log)).select("model", "mean_gap", "train_mean", "val_mean", "diagnosis")
+    verdict = (
+        F.when(F.col("mean_gap") > 0.15, "high variance, severe")
+        .when(F.col("mean_gap") > 0.10, "high variance, moderate")
+        .when((F.col("train_mean") < 0.3) & (F.col("val_mean") < 0.3), "high bias")
+        .otherwise("good fit")
+    )
+    return mean.join(told, "model").select(
+        "model", "n_folds", "n_gaps", (F.abs(F.col("m") - F.col("mean_gap")) < 1e-9).cast("int").alias("is_mean"),
+        (F.col("diagnosis") == verdict).cast("int").alias("is_judged"),
+    )
+
+
 # ---- explanation of a fitted model ----------------------------------------------------------
 
 
@@ -333,47 +417,73 @@ def l5(spark, sf):
     )
 
 
-def fixture_requests(spark, sf):
-    """Requests with some broken rows and a ready score."""
-    scores = warehouse.scored(spark, sf).select("transaction_id", "score")
-    return data_queries.broken_requests(spark, sf).join(scores, "transaction_id")
-
-
 def _run_stream(spark, sf):
-    stats = FittedStatistics.fit(warehouse.transactions(spark, sf))
-    limits = scoring.strategy_thresholds(th.all_strategies(curve_of(warehouse.scored(spark, sf))))
-    root = scratch_path(spark, "stream")
-    fixture_requests(spark, sf).write.json(f"{root}/in")
-    schema = schemas.request_schema(T.StructField("score", T.DoubleType()))
-    online.start_scoring(
-        online.request_stream(spark, f"{root}/in", schema, files_per_batch=4),
-        stats,
-        lambda rows: rows.withColumnRenamed("score", "probability"),
-        limits,
-        f"{root}/accepted",
-        f"{root}/rejected",
-        f"{root}/checkpoint",
-        extra=("hour_local", "is_large_transaction", "country_mismatch"),
-    ).awaitTermination()
-    return root
+    """Requests as JSON files through the stream, scored by the stored model; run once for a session and table."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in STREAMS:
+        ready, root = deployed(spark, sf), scratch_path(spark, "stream")
+        spread(data_queries.broken_requests(spark, sf)).write.json(f"{root}/in")
+        online.start_scoring(
+            online.request_stream(spark, f"{root}/in", schemas.request_schema(), files_per_batch=4),
+            ready.stats,
+            ready.score,
+            ready.thresholds,
+            f"{root}/accepted",
+            f"{root}/rejected",
+            f"{root}/checkpoint",
+            extra=("hour_local", "is_large_transaction", "country_mismatch"),
+        ).awaitTermination()
+        STREAMS[key] = root, ready
+    return STREAMS[key]
 
 
 @query(
     "l6_stream_accepted",
     tx(
-        STRATEGIES
-        + featured_sql()
-        + """SELECT s.transaction_id, CAST(score >= threshold AS INTEGER) AS is_fraud_predicted, score AS probability,
-      CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.3 THEN 'medium' ELSE 'low' END AS risk_level,
-      strategy AS threshold_used, threshold AS threshold_value, '1.0' AS model_version,
-      CASE WHEN s.transaction_id % 50 <> 7 THEN hour_local ELSE -1 END AS hour_local, is_large_transaction, country_mismatch
-    FROM scored s JOIN featured f ON s.transaction_id = f.transaction_id, strategies
-    WHERE strategy = 'target_performance' AND s.transaction_id % 50 NOT BETWEEN 1 AND 6"""
+        data_queries.RANKED
+        + ", train AS (SELECT tx.* FROM tx JOIN parts ON tx.transaction_id = parts.transaction_id WHERE split = 'train')"
+        + featured_sql("train")
+        + """SELECT transaction_id, 1 AS is_decided, 1 AS is_banded, 'target_performance' AS threshold_used, '1.0' AS model_version,
+      CASE WHEN transaction_id % 50 <> 7 THEN hour_local ELSE -1 END AS hour_local, is_large_transaction, country_mismatch
+    FROM featured WHERE transaction_id % 50 NOT BETWEEN 1 AND 6"""
     ),
 )
 def l6(spark, sf):
-    accepted = spark.read.parquet(f"{_run_stream(spark, sf)}/accepted").drop("batch_id")
-    return accepted.withColumn("hour_local", F.coalesce("hour_local", F.lit(-1)))
+    """Streamed rows that the stored model scored: whether decision and band fit the probability, and features."""
+    accepted, p = spark.read.parquet(f"{_run_stream(spark, sf)[0]}/accepted"), F.col("probability")
+    band = F.when(p >= 0.7, "high").when(p >= 0.3, "medium").otherwise("low")
+    return accepted.select(
+        "transaction_id",
+        (F.col("is_fraud_predicted") == (p >= F.col("threshold_value")).cast("int")).cast("int").alias("is_decided"),
+        (F.col("risk_level") == band).cast("int").alias("is_banded"),
+        "threshold_used",
+        "model_version",
+        F.coalesce("hour_local", F.lit(-1)).alias("hour_local"),
+        "is_large_transaction",
+        "country_mismatch",
+    )
+
+
+@query(
+    "l6_stream_equals_batch",
+    tx("""SELECT count(*) FILTER (transaction_id % 50 NOT BETWEEN 1 AND 6) AS n_accepted,
+    count(*) FILTER (transaction_id % 50 NOT BETWEEN 1 AND 6) AS n_accepted_equal,
+    count(*) FILTER (transaction_id % 50 BETWEEN 1 AND 6) AS n_rejected,
+    count(*) FILTER (transaction_id % 50 BETWEEN 1 AND 6) AS n_rejected_equal FROM tx"""),
+)
+def l6_equal(spark, sf):
+    """Rows that the stream and the batch job score or reject alike, with the same stored model."""
+    root, ready = _run_stream(spark, sf)
+    accepted, rejected = scoring_job.score_batch(data_queries.broken_requests(spark, sf), ready)
+    streamed = spark.read.parquet(f"{root}/accepted").select(*[F.col(c).alias(f"s_{c}") for c in scoring.OUTPUT])
+    same = [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in scoring.OUTPUT if c != "probability"]
+    alike = functools.reduce(Column.__and__, same, F.abs(F.col("probability") - F.col("s_probability")) < 1e-12)
+    both = accepted.join(streamed, F.col("transaction_id") == F.col("s_transaction_id"), "full")
+    bad = spark.read.parquet(f"{root}/rejected").select(F.col("transaction_id").alias("s_transaction_id"), F.col("errors").alias("s_errors"))
+    refused = rejected.join(bad, F.col("transaction_id") == F.col("s_transaction_id"), "full")
+    return both.agg(F.count(F.lit(1)).alias("n_accepted"), F.count_if(alike).alias("n_accepted_equal")).crossJoin(
+        refused.agg(F.count(F.lit(1)).alias("n_rejected"), F.count_if(F.col("errors") == F.col("s_errors")).alias("n_rejected_equal"))
+    )  # one row beside one row
 
 
 @query(
@@ -384,7 +494,7 @@ def l6(spark, sf):
     WHERE transaction_id % 50 BETWEEN 1 AND 6 GROUP BY 1"""),
 )
 def l6_rejected(spark, sf):
-    rejected = spark.read.parquet(f"{_run_stream(spark, sf)}/rejected")
+    rejected = spark.read.parquet(f"{_run_stream(spark, sf)[0]}/rejected")
     return rejected.select(F.explode("errors").alias("error")).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -464,6 +574,31 @@ def sc7(spark, sf):
     )
 
 
+@query(
+    "sc8_all_diagnostics",
+    LOG
+    + """, d AS (SELECT run_id, 'fold_details' AS name, (tr - te) / 10000.0::DOUBLE AS x FROM f
+      UNION ALL SELECT run_id, 'gap_summary', mean_gap FROM c UNION ALL SELECT run_id, 'iteration_tracking', mean_test FROM c
+      UNION ALL SELECT run_id, 'variance', std_test / mean_test * 100 FROM c WHERE place = 1
+      UNION ALL SELECT run_id, 'cv_results', mean_train FROM c)
+    SELECT name, run_id, count(*) AS n, round(sum(x), 6) AS total FROM d GROUP BY ALL""",
+)
+def sc8_all(spark, sf):
+    """Five stored diagnostics, each run written twice, then read."""
+    path, log = scratch_path(spark, "all-diagnostics"), staged(warehouse.candidate_log(spark, sf), "log")
+    artifacts.save_run_diagnostics(log, path)
+    artifacts.save_run_diagnostics(log.filter(F.col("run_id").cast("int") % 2 == 0), path)  # some runs are replayed
+    measure = {"fold_details": "gap", "gap_summary": "mean_gap", "iteration_tracking": "val_score_mean", "variance": "cv_coef_pct", "cv_results": "mean_train_pr_auc"}
+    parts = [
+        artifacts.load_diagnostic(spark, path, name, f"{x} double, run_id string")
+        .groupBy("run_id")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("total"))
+        .select(F.lit(name).alias("name"), "run_id", "n", "total")
+        for name, x in measure.items()
+    ]
+    return rounded(functools.reduce(lambda a, b: a.unionByName(b), parts))
+
+
 @query(
     "sc8_diagnostics_by_run",
     LOG

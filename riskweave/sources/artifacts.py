@@ -24,6 +24,32 @@ def save_diagnostics(frame: DataFrame, path: str, partition: str = "run_id") ->
     writer.partitionBy(partition).parquet(path)
 
 
+# --- the diagnostics that a run stores -------------------------------------------------
+DIAGNOSTICS = ("fold_details", "gap_summary", "iteration_tracking", "variance", "cv_results")
+
+
+def save_run_diagnostics(log: DataFrame, path: str, metric: str = "pr_auc", param: str = "n_estimators", folds: int = fv.CV_FOLDS) -> None:
+    """Store all five diagnostics of the runs in a candidate log; a run stored again replaces its own rows only."""
+    per_fold = experiments.fold_gaps(log, metric)
+    table = experiments.candidates(log, metric)
+    found = {
+        "fold_details": per_fold,
+        "gap_summary": experiments.gap_diagnosis(per_fold),
+        "iteration_tracking": experiments.iteration_curve(table, param),
+        "variance": experiments.fold_variation(table),
+        "cv_results": experiments.wide_from_long(log, [metric], folds),
+    }
+    for name in DIAGNOSTICS:
+        save_diagnostics(found[name], f"{path}/{name}")
+
+
+def load_diagnostic(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """One stored diagnostic; ``schema`` names the columns that are read."""
+    if name not in DIAGNOSTICS:
+        raise ValueError(f"unknown diagnostic {name!r}, have {DIAGNOSTICS}")
+    return spark.read.schema(schema).parquet(f"{path}/{name}")
+
+
 def save_candidate_log(log: DataFrame, path: str) -> None:
     save_diagnostics(log.select(*CANDIDATE_LOG.fieldNames()), path)
 

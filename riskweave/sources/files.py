@@ -11,11 +11,15 @@ from riskweave.sources.schemas import TRANSACTION
 CSV_TIME = "yyyy-MM-dd HH:mm:ss"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path (or glob) matches something on its file system."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop_path))
+
+
 def require_path(spark: SparkSession, path: str) -> None:
     """Raise FileNotFoundError unless the path (or glob) matches something on its file system."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop_path)
-    if not found:
+    if not path_exists(spark, path):
         raise FileNotFoundError(path)
 
 

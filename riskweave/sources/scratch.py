@@ -48,6 +48,18 @@ def spread(frame: DataFrame) -> DataFrame:
     return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
 
 
+ROWS_PER_PARTITION = 16_384
+
+
+def few_parts(frame: DataFrame, rows: int) -> DataFrame:
+    """Narrow a small input to a partition for every ``ROWS_PER_PARTITION`` rows; a large one stays as it is.
+
+    Iterative learners run a job for every step: on few rows the tasks cost more than the work.
+    """
+    parts = max(1, -(-rows // ROWS_PER_PARTITION))
+    return frame.coalesce(parts) if parts < frame.rdd.getNumPartitions() else frame
+
+
 def staged(frame: DataFrame, label: str) -> DataFrame:
     """Write ``frame`` once as Parquet and return a reader over the written table."""
     spark = frame.sparkSession

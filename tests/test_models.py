@@ -5,17 +5,19 @@ from __future__ import annotations
 import itertools
 import math
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.functions import fixed_values as fv
 from riskweave.operators import boosted_trees as bt
-from riskweave.operators import encoders, experiments, importance, learners, metrics, scoring, search
+from riskweave.operators import encoders, experiments, importance, learners, metrics, scoring, search, tree_models
 from riskweave.plans import data_queries, model_queries, scoring_job, training_job
-from riskweave.sources import artifacts, schemas
+from riskweave.sources import artifacts, schemas, warehouse
 from riskweave.streaming import online
 
 PARAMS = {"n_estimators": 5, "max_depth": 3, "learning_rate": 0.3, "scale_pos_weight": 8}
@@ -272,7 +274,85 @@ def test_request_schema_has_text_time():
 def test_candidates_share_fits_by_acting_parameters():
     groups = search._shared_fits("boosted_trees", search.candidates_of(fv.BOOSTED_GRID))
     assert sorted(len(g) for g in groups) == [24, 24]  # one for each depth
-    assert len(search._shared_fits("random_forest", search.candidates_of(fv.FOREST_GRID))) == 12
+    # the largest forest contains the first trees of the smaller ones, and their trees cut at a lower depth
+    assert [len(g) for g in search._shared_fits("random_forest", search.candidates_of(fv.FOREST_GRID))] == [12]
+    leaves = [{**c, "min_samples_leaf": n} for c in search.candidates_of(fv.FOREST_GRID) for n in (5, 10)]
+    assert [len(g) for g in search._shared_fits("random_forest", leaves)] == [12, 12]
+
+
+def shares(model, frame, sizes):
+    trees = tree_models.Trees.of(model)
+    rows = tree_models.vector_arrays(model, frame, ["transaction_id"])
+    made = tree_models.with_lists(rows, "scores", lambda b: tree_models.forest_shares(trees, tree_models.matrix(b), sizes))
+    return {r["transaction_id"]: r["scores"] for r in made.collect()}
+
+
+def positive(model, frame):
+    return {r["transaction_id"]: r["probability_fraud"] for r in learners.predicted(model, frame).collect()}
+
+
+def test_prefix_of_a_forest_is_scored_as_its_own_forest(prepared):
+    train, test = prepared.filter("split <> 'test'"), prepared.filter("split = 'test'")
+    model = learners.fit(train, learners.FOREST, {"n_estimators": 7, "max_depth": 6, "min_samples_leaf": 3})
+    found = shares(model, test, [(6, 7), (6, 3), (9, 1)])
+    encoded = PipelineModel(model.stages[:-1]).transform(test)
+    votes = {}
+    for tree in model.stages[-1].trees:
+        for r in tree.transform(encoded).select("transaction_id", vector_to_array("probability")[1].alias("p")).collect():
+            votes.setdefault(r["transaction_id"], []).append(r["p"])
+    whole = positive(model, test)
+    assert found.keys() == votes.keys() and len(votes) > 100
+    for key, p in votes.items():
+        assert found[key] == pytest.approx([whole[key], np.mean(p[:3]), p[0]], abs=1e-12)
+
+
+@pytest.mark.parametrize("depth", [0, 2, 4])
+def test_a_tree_cut_at_a_depth_is_the_tree_grown_to_it(prepared, depth):
+    """One tree on all features and rows has nothing random in it, so both must agree."""
+    train, test = prepared.filter("split <> 'test'"), prepared.filter("split = 'test'")
+    params = {"n_estimators": 1, "max_features": "all", "min_samples_leaf": 5}
+    deep, shallow = (learners.fit(train, learners.FOREST, {**params, "max_depth": d}) for d in (8, depth))
+    found, want = shares(deep, test, [(depth, 1), (8, 1)]), positive(shallow, test)
+    assert {k: v[0] for k, v in found.items()} == pytest.approx(want, abs=1e-12)
+    assert {k: v[1] for k, v in found.items()} == pytest.approx(positive(deep, test), abs=1e-12)
+
+
+def test_a_stopped_search_goes_on_where_it_was(prepared, tmp_path, monkeypatch):
+    data, fits, fit = prepared.filter("split <> 'test'"), [], learners.fit
+
+    def counted(frame, family, params=None, seed=1):
+        if len(fits) == 3 and not going_on:
+            raise InterruptedError
+        fits.append((family, params["n_estimators"]))
+        return fit(frame, family, params, seed)
+
+    monkeypatch.setattr(learners, "fit", counted)
+    grid = [{**PARAMS, "max_depth": d, "n_estimators": n} for d in (2, 3) for n in (1, 2)]
+    options = {"folds": 3, "refit": None, "parallelism": 1, "log_path": str(tmp_path / "log")}
+    going_on = False
+    with pytest.raises(InterruptedError):
+        search.search(data, "gbt", grid, "r", **options)
+    assert len(fits) == 3
+    going_on = True
+    log = search.search(data, "gbt", grid, "r", **options).log
+    assert len(fits) == 6 and log.count() == 4 * 3 * 14  # the other three fits; four candidates, three folds
+    again = search.search(data, "gbt", grid, "r", **options).log
+    assert len(fits) == 6 and again.drop("params").exceptAll(log.drop("params")).isEmpty()
+    whole = search.search(data, "gbt", grid, "r", folds=3, refit=None).log
+    facts = ["candidate_id", "fold", "split", "metric", F.round("value", 9)]
+    assert whole.filter("split <> 'time'").select(*facts).exceptAll(log.select(*facts)).isEmpty()
+    search.search(data, "gbt", grid[:1], "r", **options)  # other candidates are other fits
+    assert len(fits) == 6 + 6 + 3
+
+
+def test_gain_importance_equals_sql_over_the_node_table(boosted, tmp_path):
+    boosted.stages[-1].write().save(str(tmp_path / "m"))
+    rows = duckdb.execute(
+        f"""WITH g AS (SELECT nodeData.split.featureIndex AS i, avg(nodeData.gain) AS g FROM '{tmp_path}/m/data/*.parquet'
+        WHERE nodeData.leftChild >= 0 GROUP BY 1) SELECT i, g / sum(g) OVER () FROM g"""
+    ).fetchall()
+    want = {c: 0.0 for c in fv.MODEL_COLUMNS} | {fv.MODEL_COLUMNS[i]: g for i, g in rows}
+    assert {r["feature"]: r["importance"] for r in bt.gain_importance(boosted).collect()} == pytest.approx(want)
 
 
 def test_shared_and_blocked_scores_equal_separate_ones(prepared, monkeypatch):
@@ -317,3 +397,33 @@ def test_registered_searches_run_the_whole_grids(monkeypatch):
     assert len(asked(model_queries.m8, "search")[1]) == 10
     assert asked(model_queries.m7_counts, "tree_count_search")[2] == fv.BOOSTED_TREE_COUNTS
     assert asked(model_queries.m12, "iteration_tracking") == asked(model_queries.m12_degradation, "iteration_tracking") == (fv.TUNED_BOOSTED,)
+
+
+def test_a_million_values_are_ranked_where_they_lie(spark):
+    """Codes in the order of the texts; a model refuses to hold so many categories."""
+    n = 1_000_000
+    frame = spark.range(n).select(F.sha2(F.col("id").cast("string"), 256).alias("c"), F.lit(None).cast("string").alias("none"))
+    frame = frame.unionByName(frame.limit(1000)).unionByName(spark.createDataFrame([(None, None)], frame.schema))
+    codes, found = importance.ranked_values(frame, "c")
+    assert found == n == codes.count()
+    r = codes.agg(F.min("code"), F.max("code"), F.countDistinct("code"), F.min_by("value", "code"), F.max_by("value", "code"), F.min("value"), F.max("value")).first()
+    assert tuple(r[:3]) == (0.0, n - 1.0, n) and (r[3], r[4]) == (r[5], r[6])
+    some = sorted((x["value"], x["code"]) for x in codes.filter("value LIKE '12%'").collect())
+    assert len(some) > 3000 and [c for _, c in some] == sorted(c for _, c in some) and some[-1][1] - some[0][1] == len(some) - 1
+    empty, none = importance.ranked_values(frame, "none")
+    assert none == 0 and empty.count() == 0
+    with pytest.raises(ValueError, match="100000 values"):
+        encoders.OrdinalCodes(categorical=["c"]).fit(frame)
+
+
+def test_diagnostics_of_a_replayed_run_replace_its_own_rows(spark, sf_dir, tmp_path):
+    log, path = warehouse.candidate_log(spark, sf_dir), str(tmp_path / "diagnostics")
+    counts = lambda: {n: {r["run_id"]: r["count"] for r in artifacts.load_diagnostic(spark, path, n, "run_id string").groupBy("run_id").count().collect()} for n in artifacts.DIAGNOSTICS}
+    artifacts.save_run_diagnostics(log, path)
+    once = counts()
+    assert all(len(runs) == 5 for runs in once.values())
+    artifacts.save_run_diagnostics(log.filter("run_id = '1' AND candidate_id < 7"), path)
+    assert {n: {k: v for k, v in runs.items() if k != "1"} for n, runs in counts().items()} == {n: {k: v for k, v in runs.items() if k != "1"} for n, runs in once.items()}
+    assert counts()["cv_results"]["1"] == 14 and counts()["fold_details"]["1"] == 14 * 4
+    with pytest.raises(ValueError, match="unknown diagnostic"):
+        artifacts.load_diagnostic(spark, path, "other", "run_id string")
