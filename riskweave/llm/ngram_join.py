@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskweave.llm.batches import by_bytes
 from riskweave.llm.components import components
 from riskweave.llm.features import TokenHashes
 from riskweave.sources.scratch import staged
@@ -164,7 +165,7 @@ def signed(docs: DataFrame, key: str, text: str, carry: bool = False) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = TokenHashes(word_hash)
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             digest, size, sig, bands = [], [], [], []
             for t in batch.column("text").to_pylist():
                 gram_set = grams(t or "", hashes)
@@ -172,7 +173,8 @@ def signed(docs: DataFrame, key: str, text: str, carry: bool = False) -> DataFra
                 if len(gram_set):
                     least = signature(gram_set)
                     digest.append(hashlib.blake2b(gram_set.tobytes(), digest_size=16).digest())
-                    sig.append((least >> np.uint64(48)).astype(np.uint16).tobytes())
+                    # minima crowd near 0, so they are mixed before they are cut
+                    sig.append((mixed(least) >> np.uint64(48)).astype(np.uint16).tobytes())
                     bands.append(band_keys(least))
                 else:
                     digest.append(None)
@@ -248,12 +250,13 @@ def chunk_count(n: str, grams_total: str | None = None):
 def candidate_edges(sets: DataFrame) -> DataFrame:
     """Edges (a, b) that span what pruned comparison connects; ``sets`` has id, sig, bands, one row for each n-gram set."""
     in_bands = sets.select("id", F.explode("bands").alias("band"))
+    # bands whose buckets hold the same texts say the same; two texts are told exactly, more by 128 bits besides their ends
+    who = [F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("y")]
     buckets = (
         in_bands.groupBy("band")
-        .agg(F.count("*").alias("n"), F.sum(F.shiftright(F.xxhash64("id"), 24)).alias("who"))
+        .agg(F.count("*").alias("n"), *who)
         .filter("n > 1")
-        # bands whose buckets hold the same texts say the same
-        .groupBy("n", "who")
+        .groupBy("n", "low", "high", "x", "y")
         .agg(F.min("band").alias("band"))
         .select("band", chunk_count("n"))
     )
@@ -290,7 +293,7 @@ def verified(texts: DataFrame, groups: DataFrame) -> DataFrame:
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = TokenHashes(word_hash)
-        for batch in batches:
+        for batch in by_bytes(batches, 3):
             sets = [grams(t, hashes).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in ("id", "grp", "chunks")] + [pa.array(sets, pa.binary())], names=["id", "grp", "chunks", "grams"]
