@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 PART_BYTES = 2_000_000
+STORE: dict = {}
+
+
+def worker_store(key: object, make: Callable):
+    """What an operator remembers from task to task in a worker process.  There is one such store: asking for another, or for
+    none (``no_store``), drops it, so that the stages of a pipeline do not add up in a worker that lives through them."""
+    if key not in STORE:
+        STORE.clear()
+        STORE[key] = make()
+    return STORE[key]
+
+
+def no_store() -> None:
+    STORE.clear()
 
 
 def by_bytes(batches: Iterable[pa.RecordBatch], at: int, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from riskweave.llm.batches import by_bytes, no_store
+
 EDGES = re.compile(r"(\W*)(.*?)(\W*)", re.DOTALL)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -19,7 +21,7 @@ PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 class TokenHashes(dict):
     """Token to 64-bit hash, remembered for at most ``limit`` tokens (then it starts afresh)."""
 
-    def __init__(self, derive: Callable[[str], int], limit: int = 1_000_000):
+    def __init__(self, derive: Callable[[str], int], limit: int = 250_000):
         super().__init__()
         self.derive, self.limit = derive, limit
 
@@ -77,8 +79,9 @@ def sparse_rows(docs: DataFrame, text: str, keep: list[str], make: Callable[[],
     """``keep`` columns with the sparse vector of each text: ``index`` and ``value`` arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_store()
         hasher = make()
-        for batch in batches:
+        for batch in by_bytes(batches, len(keep)):
             vectors = [hasher.vector(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(k) for k in keep]
@@ -109,8 +112,9 @@ def scored_rows(docs: DataFrame, text: str, out: str, make: Callable[[], Hasher]
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_store()
         hasher, weights, bias = make(), shared.value["weights"], shared.value["bias"]
-        for batch in batches:
+        for batch in by_bytes(batches, at):
             scores = np.empty(batch.num_rows)
             for i, t in enumerate(batch.column(at).to_pylist()):
                 index, value = hasher.vector(t)

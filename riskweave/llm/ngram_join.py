@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskweave.llm.batches import by_bytes
+from riskweave.llm.batches import by_bytes, no_store
 from riskweave.llm.components import components
 from riskweave.llm.features import TokenHashes
 from riskweave.sources.scratch import staged
@@ -164,6 +164,7 @@ def signed(docs: DataFrame, key: str, text: str, carry: bool = False) -> DataFra
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *rest * carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_store()
         hashes = TokenHashes(word_hash)
         for batch in by_bytes(batches, 1):
             digest, size, sig, bands = [], [], [], []
@@ -292,6 +293,7 @@ def verified(texts: DataFrame, groups: DataFrame) -> DataFrame:
     members = groups.join(chunks, "root").select(F.col("node").alias("id"), F.col("root").alias("grp"), "chunks")
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_store()
         hashes = TokenHashes(word_hash)
         for batch in by_bytes(batches, 3):
             sets = [grams(t, hashes).tobytes() for t in batch.column("text").to_pylist()]

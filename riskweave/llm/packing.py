@@ -13,16 +13,17 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from riskweave.llm.batches import by_bytes, worker_store
 from riskweave.sources.scratch import staged
 
 WINDOW = 4096
@@ -35,31 +36,39 @@ class WordIds(dict):
     """Ids of each blank-separated word as little-endian bytes; the tokenizer never joins across blanks.
 
     Words that differ in case or end marks share one call, since the tokenizer lowers case and cuts before marks.  At most
-    ``limit`` words are remembered; then the store starts afresh.
+    ``limit`` words are remembered: when half of them are new, those of the older half that were not met again are forgotten.
     """
 
     def __init__(self, path: str, limit: int = 1_000_000):
         super().__init__()
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer, self.limit, self.old = Tokenizer.from_file(path), limit, {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.limit:
+        value = self.old.pop(word, None)
+        if value is None:
+            value = self.learned(word)
+        if len(self) >= self.limit // 2:
+            self.old = dict(self)
             self.clear()
-        core = word.rstrip(MARKS)
-        if word.isascii() and word != word.lower() and "<|" not in word:
-            value = self[word.lower()]
-        elif core and core != word and unicodedata.normalize("NFC", core[-1]).lower()[-1].isalnum():
-            value = self[core] + self[word[len(core) :]]
-        else:
-            value = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
         self[word] = value
         return value
 
-    def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+    def learned(self, word: str) -> bytes:
+        plain = word.isalpha() and word.islower()
+        core = word if plain else word.rstrip(MARKS)
+        if plain:
+            return self.encoded(word)
+        if word.isascii() and word != word.lower() and "<|" not in word:
+            return self[word.lower()]
+        if core and core != word and unicodedata.normalize("NFC", core[-1]).lower()[-1].isalnum():
+            return self[core] + self[word[len(core) :]]
+        return self.encoded(word)
 
+    def encoded(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
-REMEMBERED: dict[str, WordIds] = {}  # by path, kept while the worker process lives
+    def of(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -68,13 +77,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in REMEMBERED:
-            REMEMBERED[tokenizer_path] = WordIds(tokenizer_path)
-        words = REMEMBERED[tokenizer_path]
-        for batch in batches:
+        words = worker_store(("word ids", tokenizer_path), lambda: WordIds(tokenizer_path))
+        for batch in by_bytes(batches, 1):
             row, start, length, crc, total, ids = [], [], [], [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                coded = words.of(t or "") + end
+            for i, coded in enumerate(words.of(t or "") for t in batch.column(1).to_pylist()):
+                coded += end
                 n = len(coded) // 4
                 for s in range(0, n, WINDOW):
                     part = coded[4 * s : 4 * (s + WINDOW)]
@@ -157,12 +164,12 @@ def pack(cut: DataFrame, key: str = "doc_id", group: int = GROUP) -> DataFrame:
         [*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
     )
 
-    def fill(number: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", key, "start"], ascending=[False, True, True], kind="stable")
-        placed = best_fit_decreasing(frame["length"].tolist())
-        frame["sequence_id"] = [(int(number[0]) << 32) + w for w, _ in placed]
-        frame["offset"] = [o for _, o in placed]
-        return frame[schema.fieldNames()]
+    def fill(table: pa.Table) -> pa.Table:  # Arrow keeps whole numbers beside nulls as they are
+        table = table.sort_by([("length", "descending"), (key, "ascending"), ("start", "ascending")])
+        placed = best_fit_decreasing(table.column("length").to_pylist())
+        first = table.column("pack_group")[0].as_py() << 32
+        table = table.append_column("sequence_id", pa.array([first + w for w, _ in placed], pa.int64()))
+        return table.append_column("offset", pa.array([o for _, o in placed], pa.int64())).select(schema.fieldNames())
 
     dealt = numbered.withColumn("pack_group", F.pmod(F.xxhash64("piece_id"), F.lit(groups)))
-    return dealt.groupBy("pack_group").applyInPandas(fill, schema)
+    return dealt.groupBy("pack_group").applyInArrow(fill, schema)

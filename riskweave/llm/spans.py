@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from riskweave.llm.batches import by_bytes, no_store
+
 SPAN = "struct<start:long,kind:int,end:long>"
 ARROW_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
 
@@ -46,8 +48,9 @@ def by_batch(frame: DataFrame, text: str, schema: str, row: Callable[[str], dict
     at, names = frame.columns.index(text), [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_store()
         types = [to_arrow_type(f.dataType) for f in fields]
-        for batch in batches:
+        for batch in by_bytes(batches, at):
             made = [row(t or "") for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *[pa.array([m[n] for m in made], t) for n, t in zip(names, types, strict=True)]],
