@@ -59,7 +59,7 @@ class Pieces:
                 self.scores[piece], self.ids[piece] = model.get_score(i), i
                 self.bytes.append(piece.replace(MARK, " ").encode())
         self.unknown_id, self.unknown_score = model.unk_id(), min(self.scores.values(), default=0.0) - 10
-        self.rule, self.pairs, self.coded = rule, {}, {}
+        self.rule, self.pairs, self.coded, self.known, self.piece_bytes = rule, {}, {}, {}, {}
         self.prefixes = {p[:k] for p in self.scores for k in range(1, len(p) + 1)}
         # marked words are cut at line ends as well, which is right as long as no piece holds one
         if any("\n" in p for p in self.scores):
@@ -72,31 +72,77 @@ class Pieces:
             return [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
         return [self.unknown_id]
 
-    def merged(self, text: str) -> list[str]:
-        """Pieces by merging: always the best-scored pair of neighbours, the leftmost of equals."""
-        parts = list(text)
+    def stays(self, before: str, piece: str) -> bool:
+        """Whether merging the characters of ``before`` and ``piece``, always the best-scored pair of neighbours and the leftmost
+        of equals, gives these two.  It cannot once the best pair lies across their border."""
+        parts, border = [*before, *piece], len(before)
+        score = self.scores.get
         while True:
             best, at = None, -1
             for i in range(len(parts) - 1):
-                score = self.scores.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
+                s = score(parts[i] + parts[i + 1])
+                if s is not None and (best is None or s > best):
+                    best, at = s, i
             if best is None:
-                return parts
+                return parts == ([before, piece] if before else [piece])
+            if at + 1 == border:
+                return False
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-
-    def follows(self, before: str, piece: str) -> bool:
-        """Whether ``piece`` stays whole behind ``before`` (or at the start of a word, if that is empty)."""
-        known = self.pairs.get((before, piece))
-        if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[before, piece] = self.merged(before + piece) == ([before, piece] if before else [piece])
-        return known
+            border -= at + 1 < border
 
     def segmented(self, words: list[str]) -> dict[str, bytes]:
         """Ids of each distinct word as little-endian bytes."""
-        scores, by_sum = self.scores, self.rule == "sums"
+        return self.by_sums(words) if self.rule == "sums" else self.by_merges(words)
+
+    def by_merges(self, words: list[str]) -> dict[str, bytes]:
+        if not self.known:  # True for a piece, False for a mere prefix of pieces
+            self.known = {p: p in self.scores for p in self.prefixes}
+        known, pairs, as_bytes = self.known.get, self.pairs, self.as_bytes
+        # per position: where the last piece of the prefix starts, that piece, and the starts that pieces run on from
+        back, last, starts, before, out = [0], [""], [()], "", {}
+        for word in sorted(words):
+            keep = len(os.path.commonprefix((before, word)))
+            del back[keep + 1 :], last[keep + 1 :], starts[keep + 1 :]
+            before = word
+            for end in range(keep + 1, len(word) + 1):
+                origin, piece, alive = end - 1, word[end - 1], []
+                open_still = True
+                for start in (*starts[end - 1], end - 1):
+                    part = word[start:end]
+                    is_piece = known(part)
+                    if is_piece is None:
+                        continue
+                    alive.append(start)
+                    if is_piece and open_still:
+                        pair = last[start], part
+                        fits = pairs.get(pair)
+                        if fits is None:
+                            if len(pairs) >= PAIRS:
+                                pairs.clear()
+                            fits = pairs[pair] = self.stays(*pair)
+                        if fits:
+                            origin, piece, open_still = start, part, False
+                back.append(origin)
+                last.append(piece)
+                starts.append(alive)
+            codes, end = [], len(word)
+            while end:
+                codes.append(as_bytes(last[end]))
+                end = back[end]
+            codes.reverse()
+            out[word] = b"".join(codes)
+        return out
+
+    def as_bytes(self, piece: str) -> bytes:
+        made = self.piece_bytes.get(piece)
+        if made is None:
+            made = np.array(self.codes(piece), "<i4").tobytes()
+            if len(self.piece_bytes) < PAIRS:
+                self.piece_bytes[piece] = made
+        return made
+
+    def by_sums(self, words: list[str]) -> dict[str, bytes]:
+        scores = self.scores
         known = {p: scores.get(p) for p in self.prefixes}  # pieces have a score, mere prefixes None
         # per position: the best sum up to it, where its last piece starts, and the starts that pieces run on from
         best, back, starts, before, out = [0.0], [0], [[]], "", {}
@@ -107,21 +153,15 @@ class Pieces:
             for end in range(keep + 1, len(word) + 1):
                 alive, top, origin = [], None, end - 1
                 for start in [*starts[end - 1], end - 1]:
-                    part = word[start:end]
-                    score = known.get(part, MISSING)
+                    score = known.get(word[start:end], MISSING)
                     if score is MISSING:
                         continue
                     alive.append(start)
-                    if score is None:
-                        continue
-                    if by_sum:
-                        if top is None or best[start] + score > top:
-                            top, origin = best[start] + score, start
-                    elif top is None and self.follows(word[back[start] : start], part):
-                        top, origin = 0.0, start
+                    if score is not None and (top is None or best[start] + score > top):
+                        top, origin = best[start] + score, start
                 unknown = best[end - 1] + self.unknown_score
-                if word[end - 1] not in scores and (top is None or by_sum and unknown > top):
-                    top, origin = unknown if by_sum else 0.0, end - 1
+                if word[end - 1] not in scores and (top is None or unknown > top):
+                    top, origin = unknown, end - 1
                 best.append(top or 0.0)
                 back.append(origin)
                 starts.append(alive)
@@ -148,11 +188,11 @@ def marked_words(text: str) -> list[str]:
 
 def encode_batch(pieces: Pieces, texts: list[str | None]) -> list[bytes]:
     rows = [marked_words(t or "") for t in texts]
+    words = {w for row in rows for w in row}
+    new = words - pieces.coded.keys()
+    if len(pieces.coded) + len(new) > WORDS:  # words that this part has too stay
+        pieces.coded = {w: pieces.coded[w] for w in words - new}
     coded = pieces.coded
-    new = {w for row in rows for w in row if w not in coded}
-    if len(coded) + len(new) > WORDS:
-        coded.clear()
-        new = {w for row in rows for w in row}
     coded.update(pieces.segmented(list(new)))
     return [b"".join(map(coded.__getitem__, row)) for row in rows]
 
