@@ -6,27 +6,33 @@ every weight adds shifted bitmaps, and carry-save adders bring them down to the
 the complement).  The top rows are then selected from the most significant slice downward; when only a few rows are still
 open, or all slices are read, the boundary rows are resolved exactly: by their full scores, then by the smaller id.
 
-Edge rules: vectors that are null, or hold null or non-finite components, and rows without id take no part; neither do
-vectors with a component of 2**16 or more in size, whose scores could leave 64 bits.  Vectors of another dimension than the
-query's are no candidates.  Rows with the query's own id are the query.  Empty tables give no rows; other columns are not
-read.
+Scores of narrow vectors, whose components are at most 2**20 / sqrt(dimension) in size, fit 64 bits by far and come from
+the index.  A pair with a wider vector is scored in integers of any length, block by block; its score counts as the nearest
+64-bit value.
+
+Edge rules: vectors that are null, or hold null or non-finite components, and rows without id take no part.  Vectors of
+another dimension than the query's are no candidates.  Rows with the query's own id are the query; of several queries with
+one id one counts.  Empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.llm.vectors import best_of_pairs, packed, slots_for, to_slots, usable
 from riskweave.sources.scratch import staged
 
 SCALE = 1024
-LIMIT = 1 << 16
 BLOCK = 8192  # rows of a block: 128 words a bitmap
 QUERIES = 256  # queries of a block
+WIDE_BLOCK = 1024  # rows of a block that is scored in integers of any length
+NARROW = 1 << 20
 ONE = np.uint64(1)
 
 
@@ -132,31 +138,69 @@ def searchable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
         F.lit(0).alias("part"), F.lit(0).alias("slot"), F.col(key).cast("long").alias("id"),
         F.col(vector).cast("array<double>").alias("vector"),
     )
-    within = F.forall("vector", lambda x: F.abs(x) < LIMIT)
-    return rows.filter(F.col("id").isNotNull() & usable("vector", zero_too=True) & (F.size("vector") > 0) & within)
+    return rows.filter(F.col("id").isNotNull() & usable("vector", zero_too=True) & (F.size("vector") > 0))
+
+
+def is_narrow() -> Column:
+    most = F.lit(float(NARROW)) / F.sqrt(F.size("vector"))
+    return F.forall("vector", lambda x: F.abs(x) <= most)
+
+
+def unbounded(vectors: np.ndarray) -> np.ndarray:
+    """floor(1024 * x) of every component in integers of any length."""
+    whole = [[int(x) * SCALE if abs(x) >= 1 << 53 else math.floor(x * SCALE) for x in v] for v in vectors.tolist()]
+    made = np.empty(vectors.shape, object)
+    made[:] = whole
+    return made
 
 
 def index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The bit-sliced index of all usable vectors, one row a block, written once."""
     spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)).cast("int")
-    blocks = packed(searchable(vectors, key, vector), BLOCK, sliced)
+    blocks = packed(searchable(vectors, key, vector).filter(is_narrow()), BLOCK, sliced)
     return staged(blocks.withColumn("slot", spread), "slices")
 
 
+def met(blocks: DataFrame, asked: DataFrame, encode: Callable[[np.ndarray], np.ndarray], search: Callable, k: int) -> DataFrame:
+    """The best ``k`` rows of ``blocks``, whose slots are any numbers, for each of the rows ``asked``."""
+    slots = max(1, blocks.count())
+    wanted = packed(asked.repartition(slots_for(asked.count(), QUERIES)), QUERIES, encode)
+    blocks = blocks.withColumn("slot", F.pmod("slot", F.lit(slots)))
+    return best_of_pairs(blocks, to_slots(wanted, F.lit(slots)), search, k, "long")
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """For each row that ``is_query`` picks: its ``k`` best other rows as query_id, rank, vec_id, score."""
-    blocks = index(vectors, key, vector)
-    slots = max(1, blocks.count())
-    chosen = searchable(vectors.filter(is_query), key, vector).dropDuplicates(["id"])
-    wanted = packed(chosen.repartition(slots_for(chosen.count(), QUERIES)), QUERIES, quantised)
+    rows = searchable(vectors, key, vector)
+    asked = staged(searchable(vectors.filter(is_query), key, vector).dropDuplicates(["id"]), "top-k-queries")
 
-    def search(block: dict, queries: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def by_slices(block: dict, queries: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         slices = Slices(block["body"], block["ids"], block["dim"])
         ids = np.frombuffer(queries["ids"], np.int64)
         weights = np.frombuffer(queries["body"], np.int64).reshape(len(ids), -1)
         best = [slices.top(q, w, k) for q, w in zip(ids.tolist(), weights, strict=True)]
-        rows, scores = (np.concatenate(x) for x in zip(*best, strict=True))
-        yield np.repeat(ids, [len(r) for r, _ in best]), rows, scores
-
-    blocks = blocks.withColumn("slot", F.pmod("slot", F.lit(slots)))
-    return best_of_pairs(blocks, to_slots(wanted, F.lit(slots)), search, k, "long")
+        found, scores = (np.concatenate(x) for x in zip(*best, strict=True))
+        yield np.repeat(ids, [len(r) for r, _ in best]), found, scores
+
+    def by_long_integers(block: dict, queries: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        (ids, values), (q_ids, weights) = (
+            (np.frombuffer(b["ids"], np.int64), unbounded(np.frombuffer(b["body"], np.float64).reshape(-1, b["dim"]))) for b in (block, queries)
+        )
+        for q, w in zip(q_ids.tolist(), weights, strict=True):
+            scored = ((-min(max(s, -(1 << 63)), (1 << 63) - 1), i) for s, i in zip(values @ w, ids.tolist(), strict=True) if i != q)
+            best = heapq.nsmallest(k, scored)
+            yield np.full(len(best), q), np.array([i for _, i in best], np.int64), np.array([-s for s, _ in best], np.int64)
+
+    best = met(index(vectors, key, vector), asked.filter(is_narrow()), quantised, by_slices, k)
+    wide = staged(rows.filter(~is_narrow()), "wide-vectors")
+    if wide.isEmpty():
+        return best
+    plain = lambda v: v
+    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)).cast("int")
+    wide_blocks, narrow_blocks = (
+        staged(packed(r, WIDE_BLOCK, plain).withColumn("slot", spread), "wide-blocks") for r in (wide, rows.filter(is_narrow()))
+    )
+    found = best.unionByName(met(wide_blocks, asked, plain, by_long_integers, k))
+    found = found.unionByName(met(narrow_blocks, asked.filter(~is_narrow()), plain, by_long_integers, k))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
