@@ -212,15 +212,18 @@ def disclosing(docs: DataFrame, text: str, threshold: float, support: int) -> tu
             for w in near:
                 yield e, w
 
+    # entities of one document need no count of theirs; their pairs are spread by the term, so that no join key holds them all
     single = F.col("entity") == ""
-    pairs = added_up(docs, text, ("entity", "term"), keys).withColumn("n_both", F.when(single, 1).otherwise(F.col("n"))).drop("n")
-    if n_docs > 1:
-        entities = entities.unionByName(docs.sparkSession.createDataFrame([("", 1)], "entity string, n_entity long"))
+    pairs = added_up(docs, text, ("entity", "term"), keys).withColumn("single", single)
+    pairs = pairs.withColumn("entity", F.when(single, F.concat(F.lit("-"), "term")).otherwise(F.col("entity")))
     n = F.lit(float(max(n_docs, 1)))
     pmi = F.log(n * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     found = (
-        pairs.join(entities, "entity")
+        pairs.join(entities, "entity", "left")
+        .withColumn("n_both", F.when(F.col("single"), 1).otherwise(F.col("n")))
+        .withColumn("n_entity", F.when(F.col("single") & F.lit(n_docs > 1), 1).otherwise(F.col("n_entity")))
         .filter(F.col("n_both") >= F.least(F.lit(support), "n_entity"))
+        .filter(F.col("n_entity").isNotNull())
         .join(terms, "term")
         .filter(pmi >= threshold * F.log(n / F.col("n_entity")))
     )
