@@ -28,7 +28,7 @@ from riskweave.llm.vectors import best_of_pairs, matrix, packed, slots_for, usab
 from riskweave.sources.scratch import staged
 
 SAMPLE = 8192  # bound of the vectors that the parts and the network are fitted on
-PARTS = 32
+PARTS = 32  # at least; one for every BLOCK distinct vectors beyond that, as far as the sample allows
 MASS = 0.95  # a query probes its most probable parts until their probabilities add up to this
 NEIGHBOURS = 10
 HIDDEN = 128
@@ -131,24 +131,25 @@ def searchable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def fitted(rows: DataFrame) -> dict | None:
-    """Fit on at most ``SAMPLE`` rows, taken by a hash of the id, in one task."""
+    """Fit on at most ``SAMPLE`` rows, taken by a hash of the vector and then of the id, in one task."""
+    code = F.xxhash64("vector")
+    distinct = rows.agg(F.approx_count_distinct(code)).first()[0]
+    parts = max(PARTS, distinct // BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-
-
         table = gathered(batches, "id")
         if table.num_rows:
             column = table.column("vector").combine_chunks()
             sizes = column.value_lengths().to_numpy()
             dim = int(np.bincount(sizes).argmax())
             column = column.take(pa.array(np.flatnonzero(sizes == dim)))
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(matrix(column, dim)))])], names=["model"])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(matrix(column, dim), parts))])], names=["model"])
 
+    # about twice the sample by a hash of the vector, which takes all copies or none, before copies are sought
+    some = F.pmod(F.xxhash64(code), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * SAMPLE / max(distinct, 1)))
     # equal vectors tell nothing about where to cut: one of each
-    sample = rows.groupBy("vector").agg(F.min("id").alias("id")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+    sample = rows.filter(some).groupBy("vector").agg(F.min("id").alias("id")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     got = staged(sample.select("id", "vector"), "ann-sample").coalesce(1).mapInArrow(run, "model binary").collect()
-
-
     return pickle.loads(bytes(got[0]["model"])) if got else None
 
 
@@ -183,7 +184,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", v
     if model is None:
         model = {"parts": 1, "dim": -1}
     placed = staged(routed(rows, model, 0.0), "ann-index")
-    # one row for each part: at most PARTS + 1
+    # one row for each part: at most SAMPLE / 64 + 1
     slots = {r["part"]: slots_for(r["count"], BLOCK) for r in placed.groupBy("part").count().collect()}
     n_slots = F.create_map(*[F.lit(x) for pair in (slots or {0: 1}).items() for x in pair])
     salted = placed.withColumn("slot", F.pmod(F.xxhash64("id"), F.coalesce(n_slots[F.col("part")], F.lit(1))).cast("int"))
