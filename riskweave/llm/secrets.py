@@ -7,8 +7,9 @@ the base patterns always stay; token-like strings are added where they are owner
 only their hashes.
 
 Edge rules: null and empty texts have no spans and stay as rows; texts of any length are scanned whole; null repositories
-and owners count together as one unknown owner; repeated rows are rows of their own; columns beyond the named ones may
-have any name, as only the named ones are read.
+and owners count together as one unknown owner; repeated rows are rows of their own, and a value that a text holds twice is
+two candidates; spans with equal starts are listed by kind; an empty table gives an empty result; columns beyond the named
+ones may have any name, as only the named ones are read.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -56,9 +58,16 @@ def looks_live(value: str) -> bool:
 
 def token_matches(text: str, taken: list[Span]) -> list[tuple[Span, str]]:
     """Token-like strings outside the base spans that look live."""
-    found = []
+    starts, ends, found = [], [], []
+    for s, _, e in sorted(taken):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     for m in TOKEN.finditer(text):
-        apart = all(m.end() <= s or e <= m.start() for s, _, e in taken)
+        i = bisect_right(ends, m.start())  # the first span that ends beyond the start of the string
+        apart = i == len(ends) or m.end() <= starts[i]
         if apart and looks_live(m[0]) and entropy(m[0]) >= 3.5:
             found.append(((m.start(), 3, m.end()), m[0]))
     return found
