@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import __spark_entry__ as entry
-from riskweave.llm import secrets
+from riskweave.llm import context_mixing, secrets
 from riskweave.llm.tables import table
 
 
@@ -63,3 +63,8 @@ def test_many_spans_in_one_text_stay_linear():
     taken = [s for s, _ in secrets.base_matches(text)]
     found = secrets.token_matches(text, taken)
     assert len(taken) == len(found) == 20_000 and {v for _, v in found} == {loose}
+
+
+def test_token_numbers_of_any_size_come_back():
+    for ids in ([], [0], [5, 2**16, 2**24 - 1], [0, 2**24, 2**24 + 7, 2**32 - 1], list(range(1000))):
+        assert context_mixing.unpacked_ids(context_mixing.packed_ids(ids)).tolist() == ids
