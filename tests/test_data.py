@@ -319,3 +319,14 @@ def test_newest_log_by_name(spark, tmp_path):
         spark, {"rf": f"{tmp_path}/rf_cv_results_*.csv", "gbt": f"{tmp_path}/gbt_cv_results_*.csv", "lr": f"{tmp_path}/lr_*.csv"}
     )
     assert {m: p.rsplit("/", 1)[-1] for m, p in found.items()} == {"rf": "rf_cv_results_2.csv", "gbt": "gbt_cv_results_1.csv"}
+
+
+def test_stored_runs_take_one_folder_a_write_and_null_runs_are_replaced(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    rows = spark.range(300).selectExpr("nullif(cast(id % 100 as string), '7') AS run_id", "cast(id AS double) AS x")
+    artifacts.save_diagnostics(rows, path)
+    artifacts.save_diagnostics(rows.filter("run_id IS NULL OR run_id = '8'").withColumn("x", F.lit(-1.0)), path)
+    assert len(list((tmp_path / "runs").iterdir())) == 2  # a folder a run before: 101
+    found = artifacts.load_newest(spark, path, "run_id string, x double")
+    counts = {r["run_id"]: (r["n"], r["low"]) for r in found.groupBy("run_id").agg(F.count("x").alias("n"), F.min("x").alias("low")).collect()}
+    assert len(counts) == 100 and counts[None] == counts["8"] == (3, -1.0) and counts["9"] == (3, 9.0)
