@@ -330,3 +330,15 @@ def test_stored_runs_take_one_folder_a_write_and_null_runs_are_replaced(spark, t
     found = artifacts.load_newest(spark, path, "run_id string, x double")
     counts = {r["run_id"]: (r["n"], r["low"]) for r in found.groupBy("run_id").agg(F.count("x").alias("n"), F.min("x").alias("low")).collect()}
     assert len(counts) == 100 and counts[None] == counts["8"] == (3, -1.0) and counts["9"] == (3, 9.0)
+
+
+def test_candidates_are_hashed_and_keep_their_parameters(spark):
+    log = log_of(spark, [[0.8, 0.9], [0.7, 0.6]])
+    partial = log.withColumn("params", F.when(F.col("fold") == 1, F.col("params"))).withColumn("run_id", F.lit(None).cast("string"))
+    want = {r["candidate_id"]: r["params"] for r in ex.candidates(log).collect()}
+    got = {r["candidate_id"]: r["params"] for r in ex.candidates(partial).collect()}
+    assert got == want and len(got) == 2
+    none = ex.candidates(log.withColumn("params", F.lit(None).cast("map<string,string>"))).collect()
+    assert [r["params"] for r in none] == [None, None]
+    plan = ex.candidates(log, params=False)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
