@@ -34,6 +34,7 @@ class Trained:
     positive_rates: dict
     imbalance: float
     params: dict
+    data: DataFrame  # all rows with split and features
 
 
 def prepared(raw: DataFrame, seed: int = fv.DEFAULT_SEED) -> tuple[DataFrame, TransactionFeaturizerModel]:
@@ -81,6 +82,7 @@ def train(
         {"train": pos["train"] / n["train"], "train_validation": fit_pos / fit_rows, "test": pos["test"] / n["test"]},
         (fit_rows - fit_pos) / fit_pos,
         params,
+        data,
     )
 
 

@@ -427,3 +427,20 @@ def test_diagnostics_of_a_replayed_run_replace_its_own_rows(spark, sf_dir, tmp_p
     assert counts()["cv_results"]["1"] == 14 and counts()["fold_details"]["1"] == 14 * 4
     with pytest.raises(ValueError, match="unknown diagnostic"):
         artifacts.load_diagnostic(spark, path, "other", "run_id string")
+
+
+def test_explained_rows_are_those_of_the_job(monkeypatch):
+    class Rows:
+        def filter(self, condition):
+            return condition
+
+    class Model:
+        stages = ("features", "codes", "trees")
+
+    class Job:
+        model, data = Model, Rows()
+
+    monkeypatch.setattr(model_queries, "tuned_job", lambda spark, sf: Job)
+    monkeypatch.setattr(model_queries, "PipelineModel", list)
+    monkeypatch.setattr(model_queries, "prepared", None)  # the features are not made a second time
+    assert model_queries.fitted_boosted(None, "") == (["codes", "trees"], "split = 'test'")
