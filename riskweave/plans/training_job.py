@@ -35,11 +35,20 @@ class Trained:
     imbalance: float
     params: dict
     data: DataFrame  # all rows with split and features
+    raw: DataFrame  # all rows with split, before features
 
 
 def prepared(raw: DataFrame, seed: int = fv.DEFAULT_SEED) -> tuple[DataFrame, TransactionFeaturizerModel]:
     """Split rows with their final features (statistics from train only), stored once."""
-    placed = staged(train_val_test(raw, "is_fraud", seed=seed), "split")
+    return _featured(split_rows(raw, seed))
+
+
+def split_rows(raw: DataFrame, seed: int = fv.DEFAULT_SEED) -> DataFrame:
+    """Raw rows with their split, stored once."""
+    return staged(train_val_test(raw, "is_fraud", seed=seed), "split")
+
+
+def _featured(placed: DataFrame) -> tuple[DataFrame, TransactionFeaturizerModel]:
     featurizer = TransactionFeaturizer(keepColumns=CARRIED).fit(placed.filter("split = 'train'"))
     return staged(spread(featurizer.transform(placed)), "features"), featurizer
 
@@ -57,7 +66,8 @@ def train(
 ) -> Trained:
     family = learners.family_of(family)
     params = dict(fv.TUNED_BOOSTED if params is None and family == learners.BOOSTED else params or {})
-    data, featurizer = prepared(raw, seed)
+    placed = split_rows(raw, seed)
+    data, featurizer = _featured(placed)
     fitting, test = data.filter("split <> 'test'"), data.filter("split = 'test'")
     model = learners.fit(fitting, family, params, seed)
     scored = staged(learners.scored_table(model, test, "transaction_id"), "scored")
@@ -83,6 +93,7 @@ def train(
         (fit_rows - fit_pos) / fit_pos,
         params,
         data,
+        placed,
     )
 
 

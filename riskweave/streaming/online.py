@@ -20,6 +20,14 @@ from riskweave.operators.features import FittedStatistics
 from riskweave.plans.scoring_job import Scorer, with_features
 
 
+FEWEST_FILES = 4  # files of a micro-batch on few cores
+
+
+def files_at_once(spark: SparkSession) -> int:
+    """Files of a micro-batch that give each core one; a fixed number would leave the cores beyond it idle in every batch."""
+    return max(FEWEST_FILES, spark.sparkContext.defaultParallelism)
+
+
 def request_stream(
     spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json", files_per_batch: int | None = None
 ) -> DataFrame:
