@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions import fixed_values as fv
-from riskweave.operators import deep_forest
+from riskweave.operators import boosting, deep_forest
 from riskweave.operators.encoders import linear_encoding, tree_encoding
 from riskweave.operators.splits import class_weights
-from riskweave.sources.scratch import few_parts, use_checkpoints
+from riskweave.sources.scratch import few_parts
 
 LABEL, WEIGHT = "is_fraud", "weight"
 LINEAR, FOREST, BOOSTED = "logistic_regression", "random_forest", "boosted_trees"
@@ -131,17 +131,16 @@ def learner(family: str, params: Mapping | None = None, seed: int = fv.DEFAULT_S
 
 
 def fit(frame: DataFrame, family: str, params: Mapping | None = None, seed: int = fv.DEFAULT_SEED) -> PipelineModel:
-    if family == BOOSTED:
-        use_checkpoints(frame.sparkSession)  # boosting cuts its lineage every few rounds
     rows = weighted(few_parts(frame, frame.count()), family, params)
     p = dict(params or {})
     if family == LINEAR and "reg_param" not in p:
         p["reg_param"] = ridge(rows, float(p.get("C", 1.0)))
     pipeline = learner(family, p, seed)
-    if family == FOREST and forest_depth(p.get("max_depth")) > LEVELS:
-        encoding, forest = pipeline.getStages()
+    if family == BOOSTED or family == FOREST and forest_depth(p.get("max_depth")) > LEVELS:
+        encoding, trees = pipeline.getStages()
         encoder = encoding.fit(rows)
-        return PipelineModel([encoder, deep_forest.fit(encoder.transform(rows), forest)])
+        grow = boosting.fit if family == BOOSTED else deep_forest.fit
+        return PipelineModel([encoder, grow(encoder.transform(rows), trees)])
     return pipeline.fit(rows)
 
 
