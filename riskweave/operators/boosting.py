@@ -321,13 +321,13 @@ def blocks_of(values: DataFrame, label: str, codes: Codes, rows: int) -> RDD:
     spark = values.sparkSession
     parts = max(1, min(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)))
     numbered = values.select(F.monotonically_increasing_id().alias("row"), "values", F.col(label).cast("int").alias("label"))
-    made = staged(numbered.mapInArrow(run, "rows binary, codes binary, labels binary"), "blocks")
+    made = numbered.mapInArrow(run, "rows binary, codes binary, labels binary").repartition(parts)
 
     def read(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids = np.frombuffer(row["rows"], np.int64)
         return ids, np.frombuffer(row["codes"], kind).reshape(-1, len(ids)), np.frombuffer(row["labels"], np.uint8)
 
-    return staged(made.repartition(parts), "even-blocks").rdd.map(read).coalesce(parts)
+    return staged(made, "blocks").rdd.map(read).coalesce(parts)
 
 
 def node_rows(trees: list[Tree], rules: Rules) -> Iterator[tuple]:
