@@ -1,17 +1,17 @@
 """Language-model scoring by logistic context mixing.
 
-A text is coded as tokens (blank-separated words, A-Z lowered, then one end).  Three layers give each token a probability:
-
-1. In the document, online: hashed contexts of the last two tokens, the last one, and no token each point at the token that
-   followed them last time here.  Whether the pointer of the longest known context hits is one binary event; its
-   probability adapts as the document goes on, in counters gated by that context's order and by whether the last pointer hit.
-2. Over the corpus: otherwise the token has its training frequency.  Training documents are dealt to ``CLASSES`` classes by a
-   hash of their most frequent short token, which mostly tells the language; each class has its own frequencies, backed by
-   those of the corpus (Witten-Bell).  A document's classes are weighed by how well they have predicted its tokens so far.
-3. Both rest on the token's spelling, bit by bit: several predictors, counters hashed by the last 0 to 3 bytes and the bits so far, are combined
-   in the logistic domain by weights gated by bit position and by the longest context seen in training.  The weights are
-   learned online, each word's own counts left out, and averaged over tasks; a refinement table then maps the mixed
-   probability to the frequency with which such predictions came true.
+A text is coded as tokens (blank-separated words, A-Z lowered, then one end), and each token as binary decisions:
+
+1. A token that training saw twice or more has a code, a Huffman code of its frequency and preferred class of texts and then
+   its number there.  Every bit of every token is predicted by hashed contexts that reach the last two tokens, by the class that
+   the document's tokens have voted for so far, and by the pointer to what followed the same contexts earlier in the document; they are
+   combined in the logistic domain by gated weights and refined (``token_mixing``).  Counters, weights and refinement are
+   learned from every bit of all training documents.
+2. Training documents are dealt to ``CLASSES`` classes by a hash of their most frequent short token, which mostly tells the
+   language; a token prefers the class in which it is ``LIFT`` times as frequent as in the corpus.
+3. Any other token is coded as novel and then spelled, bit by bit in the same way: counters hashed by the last 0 to 3 bytes
+   and the bits so far, weights gated by bit position and by the longest context seen in training, learned online from the
+   words that training saw once, each word's own counts left out, and averaged over tasks; then refinement.
 
 The sum of the token log-probabilities is the score; with the text's bytes it gives bits per byte.
 
@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from riskweave.llm import token_mixing
 from riskweave.llm.tables import fold
 from riskweave.sources.scratch import staged
 
@@ -51,6 +52,7 @@ WORDS_PER_TASK = 400_000
 BUCKET_BYTES = 32_000_000  # text that is scored together
 MOST_TOKENS = 1_000_000  # distinct tokens of a bucket
 CLASSES = 8
+LIFT = 1.5  # how much more frequent than in the corpus a token is in the class that prefers it
 SHORT = 3  # bytes of a token that may tell the class
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FACTOR = np.uint64(0xD6E8FEB86659FD93)
@@ -232,60 +234,15 @@ def fitted(words: DataFrame) -> dict:
 # ---- the document's own contexts ------------------------------------------------------------------------------------
 
 
-def previous_equal(keys: np.ndarray) -> np.ndarray:
-    """For each position the last earlier position with the same key, or -1."""
-    order = np.argsort(keys, kind="stable")
-    same = np.concatenate([[False], keys[order[1:]] == keys[order[:-1]]]) if len(keys) else np.empty(0, bool)
-    before = np.full(len(keys), -1)
-    before[order[same]] = order[np.flatnonzero(same) - 1]
-    return before
-
-
-PRIOR = np.array([0.05, 0.02, 0.3, 0.1, 0.05, 0.6, 0.4, 0.2, 0.95])  # by 3 * order + (none, missed, hit)
-
-
 def pointer_events(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For a document's token ids: whether the pointer hit, and the probability it had (nan without a pointer)."""
-    n = len(ids)
-    last1 = np.concatenate([[-1], ids[:-1]]).astype(np.int64)
-    last2 = np.concatenate([[-1, -1], ids[:-2]])[:n].astype(np.int64)
-    target, order = np.full(n, -1), np.full(n, -1)
-    for k, keys in enumerate((last1, last1 * (int(ids.max(initial=0)) + 2) + last2)):
-        before = previous_equal(keys)
-        before[: k + 1] = -1
-        known = before >= 0
-        target[known], order[known] = ids[before[known]], k + 1
-    first = (order < 0) & (last1 >= 0)
-    target[first], order[first] = last1[first], 0
-    has = order >= 0
-    hit = has & (target == ids)
-    state = np.where(has, 1 + hit, 0)
-    gate = 3 * order + np.concatenate([[0], state[:-1]])
-    p = np.full(n, np.nan)
-    for g in np.unique(gate[has]):
-        at = np.flatnonzero(has & (gate == g))
-        hits = np.cumsum(hit[at]) - hit[at]
-        p[at] = (hits + 2 * PRIOR[g]) / (np.arange(len(at)) + 2)
+    _, _, hit, p = token_mixing.pointers(np.asarray(ids, np.int64), np.zeros(len(ids), np.int64))
     return hit, p
 
 
 # ---- over the tables ------------------------------------------------------------------------------------------------
 
 
-def sparse(counts: np.ndarray) -> list[bytes]:
-    """Rows of class counts as (class, count) pairs of those above zero: most tokens have one class."""
-    row, column = np.nonzero(counts)
-    body = (counts[row, column] * CLASSES + column).astype("<i8").tobytes()
-    ends = 8 * np.cumsum(np.bincount(row, minlength=len(counts)))
-    return [body[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if len(counts) else []
-
-
-def dense(rows: list[bytes]) -> np.ndarray:
-    counts, pairs = np.zeros((len(rows), CLASSES)), np.frombuffer(b"".join(rows), "<i8")
-    counts[np.repeat(np.arange(len(rows)), [len(r) // 8 for r in rows]), pairs % CLASSES] = pairs // CLASSES
-    return counts
-
-
 def class_of(tokens: list[bytes]) -> int:
     """By the most frequent short token, the first of equals; 0 for a text without one."""
     short = {t: n for t, n in Counter(tokens).items() if 0 < len(t) <= SHORT}
@@ -357,71 +314,127 @@ def coded(docs: DataFrame, key: str, text: str, folds: int, held_out: int) -> Da
         if number:
             yield token_rows()
 
-    return staged(rows.mapInArrow(run, schema), "lm-coded")
+    return staged(rows.mapInArrow(run, schema), "lm-coded", "zstd")
 
 
-def score(docs: DataFrame, folds: int, held_out: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``, learned from the rows whose fold is not ``held_out``.
+def numbered(sums: DataFrame, n_class: np.ndarray) -> DataFrame:
+    """Tokens (token and class counts) with c, the cell of their code and their place in it among those of one task, part."""
+    names = [f"c{k}" for k in range(CLASSES)]
+    share = n_class.sum() / np.maximum(n_class, 1)
 
-    key, held_out, n_tokens, n_known, train_tokens, base_score (smoothed frequencies), score (the model), bits_per_byte.
-    """
-    rows = coded(docs, key, text, folds, held_out)
-    tokens = rows.filter("token IS NOT NULL")
-    texts = rows.filter("ids IS NOT NULL").select("key", "held_out", "bucket", "ids", "size")
-    by_class = [f"c{k}" for k in range(CLASSES)]
-    sums = tokens.groupBy("token").agg(*[F.sum(c).alias(c) for c in by_class])
-    words = staged(sums.withColumn("c", sum((F.col(c) for c in by_class), F.lit(0).cast("long"))), "lm-words")
-    known = words.filter("c > 0")
-    totals = known.agg(
-        F.sum("c").alias("n"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("once"),
-        *[F.sum(c).alias("n_" + c) for c in by_class], *[F.sum((F.col(c) > 0).cast("long")).alias("v_" + c) for c in by_class],
-        F.max(F.when(F.col("token") == F.lit(b""), F.struct(*by_class))).alias("docs"),
-    ).first()
-    n, v, n_once = totals["n"] or 0, totals["v"], totals["once"] or 0
-    n_class = np.array([totals["n_" + c] or 0 for c in by_class], np.float64)
-    v_class = np.array([totals["v_" + c] or 0 for c in by_class], np.float64)
-    docs_class = np.array([x or 0 for x in totals["docs"] or [0] * CLASSES], np.float64)
-    log_prior = np.log10((docs_class + 1) / (docs_class.sum() + CLASSES))
-    model = fitted(known.coalesce(max(1, -(-v // WORDS_PER_TASK))))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    unseen = (n_once + 1) / (n + 2)  # weight of spelling: the share of tokens that training saw once
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = TaskContext.get().partitionId(), np.zeros(token_mixing.CELLS, np.int64)
+        for batch in batches:
+            counts = np.stack([batch.column(k).to_numpy() for k in names], axis=1)
+            c = counts.sum(axis=1)
+            lift = counts * share
+            best = lift.argmax(axis=1)
+            liked = lift[np.arange(len(c)), best] >= LIFT * c
+            step = token_mixing.frequency_step(c)
+            cell = np.where(step > 0, 16 * step + np.where(liked, best + 1, 0), 0)
+            order = np.argsort(cell, kind="stable")
+            here = np.bincount(cell, minlength=token_mixing.CELLS)
+            place = np.empty(len(c), np.int64)
+            place[order] = np.arange(len(c)) - np.repeat(np.cumsum(here) - here, here) + np.repeat(held, here)
+            held += here
+            columns = [batch.column("token"), pa.array(c), pa.array(cell.astype(np.int32)), pa.array(np.full(len(c), part, np.int32)), pa.array(place)]
+            yield pa.RecordBatch.from_arrays(columns, names=["token", "c", "cell", "part", "place"])
+
+    return staged(sums.mapInArrow(run, "token binary, c long, cell int, part int, place long"), "lm-words", "zstd")
+
+
+def weighed(words: DataFrame, model: dict) -> tuple[DataFrame, dict]:
+    """Tokens with c, code (0: novel) and the log10 probability of the spelling of those without a code; the cells' codes."""
+    sums = words.filter("c > 0").groupBy("part", "cell").agg(F.count("*").alias("tokens"), F.sum("c").alias("c"))  # at most 136 a task
+    sizes, weights, first = np.zeros(token_mixing.CELLS, np.int64), np.zeros(token_mixing.CELLS), {}
+    for r in sums.orderBy("part", "cell").collect():
+        first.setdefault(r["part"], np.zeros(token_mixing.CELLS, np.int64))[r["cell"]] = sizes[r["cell"]]
+        sizes[r["cell"]] += r["tokens"]
+        weights[r["cell"]] += r["c"]
+    heads = token_mixing.heads_of(weights)
+    context = words.sparkSession.sparkContext
+    shared, starts = context.broadcast(model), context.broadcast(first)
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = batch.column("c").to_numpy()
-            spelled = [spelling(shared.value, part) for part in chunks(batch.column("token").to_pylist())]
-            p = (1 - unseen) * c / max(n, 1) + unseen * 10 ** np.maximum(np.concatenate(spelled), -290) if len(c) else c
-            counts = np.stack([batch.column(k).to_numpy() for k in by_class], axis=1)
-            columns = [batch.column("token"), batch.column("c"), pa.array(np.log10(p), pa.float64()), pa.array(sparse(counts), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["token", "c", "log_p", "classes"])
-
-    weighed = words.mapInArrow(weigh, "token binary, c long, log_p double, classes binary")
-    looked_up = tokens.select("bucket", "number", "token").join(weighed, "token").select(F.col("bucket").alias("of_bucket"), "number", "c", "log_p", "classes")
+            cell, part, place = (batch.column(k).to_numpy() for k in ("cell", "part", "place"))
+            begin = np.zeros(len(cell), np.int64)
+            for p in np.unique(part):
+                if int(p) in starts.value:
+                    begin[part == p] = starts.value[int(p)][cell[part == p]]
+            code = token_mixing.codes(cell.astype(np.int64), place + begin, sizes, heads)
+            spelled, log_p = np.flatnonzero(code == 0), np.zeros(len(cell), np.float32)
+            for at in chunks(spelled):
+                log_p[at] = spelling(shared.value, batch.column("token").take(pa.array(at)).to_pylist())
+            columns = [batch.column("token"), batch.column("c"), pa.array(code), pa.array(log_p)]
+            yield pa.RecordBatch.from_arrays(columns, names=["token", "c", "code", "log_p"])
+
+    return words.mapInArrow(run, "token binary, c long, code long, log_p float"), heads
+
+
+def resolved(texts: DataFrame, looked_up: DataFrame, n: int, v: int) -> DataFrame:
+    """Documents as codes, written once: key, held_out, size, n_tokens, n_known, base_score, codes, spellings."""
     floor = np.log10(n + 0.5 * (v + 1))
 
     def per_bucket(_: tuple, texts: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("number")
-        c, p = table["c"].to_numpy(), 10 ** table["log_p"].to_numpy()
+        at = table["number"].to_numpy()
+        c, code, log_p = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at), np.float32)
+        c[at], code[at], log_p[at] = table["c"], table["code"], table["log_p"]
         base = np.log10(c + 0.5) - floor
-        back = np.maximum(v_class, 1)
-        p_class = (dense(table["classes"].tolist()) + back * p[:, None]) / (n_class + back)
         out = []
         for doc, held, body, size in zip(texts["key"], texts["held_out"], texts["ids"], texts["size"], strict=True):
             ids = unpacked_ids(body)
-            hit, q = pointer_events(ids)
-            q = np.nan_to_num(q)
-            each = np.log10(p_class[ids] * (1 - q)[:, None] + (q * hit)[:, None])
-            of_class = log_prior + each.sum(axis=0)
-            top = of_class.max()
-            total = float(top + np.log10((10 ** (of_class - top)).sum()))
-            out.append((doc, held, len(ids), int((c[ids] > 0).sum()), n, float(base[ids].sum()), total, -total * np.log2(10) / (size + 1)))
-        return pd.DataFrame(out, columns=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+            g = code[ids]
+            spelled, which = np.unique(ids[g == 0], return_inverse=True)
+            g[g == 0] = -1 - which
+            spellings = log_p[spelled].astype("<f4").tobytes()
+            out.append((doc, held, size, len(ids), int((c[ids] > 0).sum()), float(base[ids].sum()), token_mixing.packed_codes(g), spellings))
+        return pd.DataFrame(out, columns=["key", "held_out", "size", "n_tokens", "n_known", "base_score", "codes", "spellings"])
+
+    kind = texts.schema["key"].dataType.simpleString()
+    schema = f"key {kind}, held_out boolean, size long, n_tokens long, n_known long, base_score double, codes binary, spellings binary"
+    return staged(texts.groupBy("bucket").cogroup(looked_up.groupBy("of_bucket")).applyInPandas(per_bucket, schema), "lm-resolved", "zstd")
 
+
+def score(docs: DataFrame, folds: int, held_out: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``, learned from the rows whose fold is not ``held_out``.
+
+    key, held_out, n_tokens, n_known, train_tokens, base_score (smoothed frequencies), score (the model), bits_per_byte.
+    """
+    rows = coded(docs, key, text, folds, held_out)
+    tokens = rows.filter("token IS NOT NULL")
+    texts = rows.filter("ids IS NOT NULL").select("key", "held_out", "bucket", "ids", "size")
+    by_class = [f"c{k}" for k in range(CLASSES)]
+    n_class = np.array([x or 0 for x in tokens.agg(*[F.sum(c) for c in by_class]).first()], np.float64)
+    words = numbered(tokens.groupBy("token").agg(*[F.sum(c).alias(c) for c in by_class]), n_class)
+    totals = words.filter("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    n, v = totals["n"] or 0, totals["v"]
+    once = words.filter("c = 1").select("token")
+    spelled, heads = weighed(words, fitted(once.coalesce(max(1, -(-v // WORDS_PER_TASK)))))
+    looked_up = tokens.select("bucket", "number", "token").join(spelled, "token").select(F.col("bucket").alias("of_bucket"), "number", "c", "code", "log_p")
     # keys travel as text: beside a null, pandas would turn whole numbers into floats
     kind = docs.schema[key].dataType
     texts = texts.withColumn("key", F.col("key").cast("string")) if isinstance(kind, T.NumericType) else texts
-    schema = (
-        f"`{key}` {texts.schema['key'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    )
-    scored = texts.groupBy("bucket").cogroup(looked_up.groupBy("of_bucket")).applyInPandas(per_bucket, schema)
-    return scored.withColumn(key, F.col(key).cast(kind))
+    documents = resolved(texts, looked_up, n, v)
+    cores = docs.sparkSession.sparkContext.defaultParallelism  # each learning task hands on a table of constant size
+    model = token_mixing.fitted(documents.filter("NOT held_out").select("codes").coalesce(cores), n, heads)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = ["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = np.zeros(batch.num_rows)
+            spellings = batch.column("spellings").to_pylist()
+            for a, b, lengths, c in token_mixing.chunks(batch.column("codes").to_pylist(), heads):
+                each = token_mixing.log_probabilities(shared.value, c)
+                own = [np.frombuffer(x, "<f4") for x in spellings[a:b]]
+                first = np.cumsum([0, *(len(x) for x in own)])[:-1]
+                at = np.flatnonzero(c.spelled)
+                each[at] += np.concatenate(own)[np.repeat(first, lengths)[at] - c.g[at] - 1]
+                total[a:b] = np.add.reduceat(each, np.cumsum(lengths) - lengths)
+            bits = -total * np.log2(10) / (batch.column("size").to_numpy() + 1)
+            columns = {"train_tokens": pa.array(np.full(len(total), n, np.int64)), "score": pa.array(total), "bits_per_byte": pa.array(bits)}
+            yield pa.RecordBatch.from_arrays([columns[k] if k in columns else batch.column(k) for k in kept], names=kept)
+
+    schema = f"key {documents.schema['key'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    return documents.mapInArrow(run, schema).select(F.col("key").cast(kind).alias(key), *kept[1:])
