@@ -26,7 +26,7 @@ other columns are not read.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -194,7 +194,7 @@ def counted(words: DataFrame) -> np.ndarray:
 
     parts = words.mapInArrow(count, "block int, body binary").repartition("block").mapInArrow(add, "block int, body binary")
     table = np.zeros((ORDERS * 2 << SLOT_BITS >> BLOCK_BITS, width), np.int32)
-    for row in parts.toLocalIterator():  # as many blocks as the constants say
+    for row in parts.collect():  # as many blocks as the constants say
         table[row["block"]] += np.frombuffer(row["body"], np.int32)
     return table.reshape(ORDERS, 2 << SLOT_BITS)
 
@@ -218,7 +218,7 @@ def fitted(words: DataFrame) -> dict:
             )
 
     total, weights, hits = 0.0, np.zeros((GATES, ORDERS)), np.zeros((GATES, STEPS, 2))
-    for row in words.select("token").mapInArrow(run, "n double, weights binary, hits binary").toLocalIterator():
+    for row in words.select("token").mapInArrow(run, "n double, weights binary, hits binary").collect():  # one row a task
         total += row["n"]
         weights += row["n"] * np.frombuffer(row["weights"]).reshape(GATES, ORDERS)
         hits += np.frombuffer(row["hits"]).reshape(GATES, STEPS, 2)
@@ -245,13 +245,13 @@ def pointer_events(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def class_of(tokens: list[bytes]) -> int:
     """By the most frequent short token, the first of equals; 0 for a text without one."""
-    short = {t: n for t, n in Counter(tokens).items() if 0 < len(t) <= SHORT}
+    short = Counter([t for t in tokens if 0 < len(t) <= SHORT])
     return zlib.crc32(max(short, key=short.get)) % CLASSES if short else 0
 
 
-def packed_ids(ids: list[int]) -> bytes:
+def packed_ids(ids: np.ndarray | list[int]) -> bytes:
     """Three bytes an id: all lower halves, then all upper bytes; four where a text has ids that need them.  The first byte says which."""
-    x = np.array(ids, np.uint32)
+    x = np.asarray(ids, np.uint32)
     if x.max(initial=0) >> 24:
         return b"\4" + x.astype("<u4").tobytes()
     return b"\3" + (x & 0xFFFF).astype("<u2").tobytes() + (x >> 16).astype(np.uint8).tobytes()
@@ -285,13 +285,24 @@ def coded(docs: DataFrame, key: str, text: str, folds: int, held_out: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held_bytes = TaskContext.get().partitionId() << 32, 0
-        number: dict[bytes, int] = {}
-        counts = [Counter() for _ in range(CLASSES)]
+        number: defaultdict[bytes, int] = defaultdict()  # a new token gets the next number
+        number.default_factory = number.__len__
+        counts = np.zeros((CLASSES, 0), np.int64)
+        seen: list[list[np.ndarray]] = [[] for _ in range(CLASSES)]  # training documents that are not counted yet
+
+        def add_up() -> np.ndarray:
+            total = np.zeros((CLASSES, len(number)), np.int64)
+            total[:, : counts.shape[1]] = counts
+            for k, ids in enumerate(seen):
+                if ids:
+                    total[k] += np.bincount(np.concatenate(ids), minlength=len(number))
+                    ids.clear()
+            return total
 
         def token_rows() -> pa.RecordBatch:
             n = len(number)
             columns = {"bucket": np.full(n, bucket), "number": np.arange(n), "token": list(number)}
-            return table(columns | {c: list(map(k.__getitem__, range(n))) for c, k in zip(classes, counts, strict=True)}, n)
+            return table(columns | dict(zip(classes, add_up(), strict=True)), n)
 
         for batch in batches:
             keys, out = batch.column("key").to_pylist(), {c: [] for c in ("key", "held_out", "bucket", "ids", "size")}
@@ -300,16 +311,16 @@ def coded(docs: DataFrame, key: str, text: str, folds: int, held_out: int) -> Da
                     yield token_rows()
                     bucket, held_bytes = bucket + 1, 0
                     number.clear()
-                    for c in counts:
-                        c.clear()
+                    counts = counts[:, :0]
                 tokens = tokens_of(t)
-                ids = [number.setdefault(x, len(number)) for x in tokens]
+                ids = np.fromiter(map(number.__getitem__, tokens), np.uint32, len(tokens))
                 if not held:
-                    counts[class_of(tokens)].update(ids)
+                    seen[class_of(tokens)].append(ids)
                 size = len(t.encode("utf-8", "surrogatepass")) if t else 0
                 held_bytes += size
                 for c, v in zip(out.values(), (k, held, bucket, packed_ids(ids), size), strict=True):
                     c.append(v)
+            counts = add_up()
             yield table(out, batch.num_rows)
         if number:
             yield token_rows()

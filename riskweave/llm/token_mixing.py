@@ -366,7 +366,7 @@ def counted(documents: DataFrame, sizes: list[int], heads: dict) -> list[np.ndar
 
     schema = "block long, body binary"
     out = np.zeros(total, np.uint16)
-    for row in documents.mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).toLocalIterator():
+    for row in documents.mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect():  # as many blocks as the constants say
         body = np.frombuffer(row["body"], np.uint16)
         out[row["block"] // 2 : row["block"] // 2 + len(body)] = body
     return [out[a:b] for a, b in zip(firsts, firsts[1:], strict=False)]
@@ -392,7 +392,7 @@ def fitted(documents: DataFrame, tokens: int, heads: dict) -> dict:
             yield pa.RecordBatch.from_arrays(columns, names=["n", "weights", "hits"])
 
     total, weights, hits = 0.0, np.zeros((GATES, PREDICTORS)), np.zeros((PLACES, KINDS * STEPS, 2))
-    for row in documents.mapInArrow(run, "n double, weights binary, hits binary").toLocalIterator():
+    for row in documents.mapInArrow(run, "n double, weights binary, hits binary").collect():  # one row a task; an iterator would run one task at a time
         total += row["n"]
         weights += row["n"] * np.frombuffer(row["weights"]).reshape(weights.shape)
         hits += np.frombuffer(row["hits"]).reshape(hits.shape)
